@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hydrospark.functions import peakflow as P
+from hydrospark.session import cut
 from hydrospark.operators.ordered import chunk_previous, chunk_running_sum, ranked
 
 TIME_KEYS = ["Year", "Month", "Day", "Hr", "Min"]
@@ -22,6 +23,12 @@ def month_chunk(ts: str) -> Column:
     return F.year(ts) * 12 + F.month(ts)
 
 
+def clock_seconds(ts: str) -> Column:
+    """Seconds on the stored clock; no session time zone enters for zone-less timestamps."""
+    day = F.date_diff(F.to_date(ts), F.lit("1970-01-01")).cast("bigint")
+    return day * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def wet_dry_runs(series: DataFrame, site: str = "site", ts: str = "ts", pi: str = "pi") -> DataFrame:
     """Run number of consecutive dry or wet rows per site in time order.
 
@@ -49,7 +56,8 @@ def top_events(onsets: DataFrame, site_rows: DataFrame, site: str = "site", ts:
     k = site_rows.select(
         site, F.when(F.col("n_rows") < select_top, F.floor(0.3 * F.col("n_rows"))).otherwise(select_top).alias("_k")
     )
-    src = onsets.where(F.col(flow).isNotNull()).withColumn("_sec", F.unix_timestamp(ts))
+    # onsets are few beside the record they come from: written once, then ranked without rereading the record
+    src = cut(onsets.where(F.col(flow).isNotNull()).withColumn("_sec", clock_seconds(ts)))
     r = ranked(src, flow, "_sec", [site], "event_rank", "_n", descending=True)
     return r.join(k, site).where(F.col("event_rank") <= F.col("_k")).drop("_k", "_n", "_sec")
 
