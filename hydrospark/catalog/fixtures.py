@@ -71,8 +71,8 @@ SELECT s_suppkey AS gauge_id, (s_suppkey % 50) * 100.0e0 + (s_suppkey % 9) * 4.0
   floor(s_suppkey / 50.0e0) * 100.0e0 + (s_suppkey % 7) * 5.0e0 AS y, round(s_acctbal, 2) AS gauge_value FROM {supplier}""",
     "fx_climate": """
 SELECT o_custkey % 25 AS point, CAST(2000 + floor((o_orderkey % 730) / 365.0e0) AS INT) AS year, CAST(1 + (o_orderkey % 730) % 365 AS INT) AS yday,
-  round(avg(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 10000.0e0 ELSE 0.0e0 END), 6) AS prcp,
-  round(avg(15.0e0 + o_orderkey % 17), 6) AS tmax, round(avg(3.0e0 + o_orderkey % 11), 6) AS tmin, round(avg(120.0e0 + o_custkey % 90), 6) AS srad
+  round(avg(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 10000.0e0 ELSE 0.0e0 END), 9) AS prcp,
+  round(avg(15.0e0 + o_orderkey % 17), 9) AS tmax, round(avg(3.0e0 + o_orderkey % 11), 9) AS tmin, round(avg(120.0e0 + o_custkey % 90), 9) AS srad
 FROM {orders} GROUP BY o_custkey % 25, o_orderkey % 730""",
     "fx_horizon": """
 SELECT l_partkey AS cokey, l_orderkey * 10 + l_linenumber AS chkey, CASE WHEN l_orderkey % 19 = 0 THEN NULL ELSE round(0.05e0 + l_discount * 4, 6) END AS kffact,

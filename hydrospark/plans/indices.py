@@ -48,7 +48,8 @@ def weighted_overlay(layers: DataFrame, weights: dict[str, float]) -> DataFrame:
 def zone_index(overlay: DataFrame, zone_cells: DataFrame, zones: DataFrame, equal_is_middle: bool) -> DataFrame:
     """Zone sums, rank scores 0 .. 5 and categories; a zone without a cell has no data."""
     total = zonal_sum(zone_cells, overlay, "score_sum", "total")
-    all_zones = zones.select("zone_id").join(total, "zone_id", "left")
+    # sums of the same parts in another order differ in the last bits; equal totals must tie
+    all_zones = zones.select("zone_id").join(total, "zone_id", "left").withColumn("total", F.round("total", 6))
     return rank_score(all_zones, "total", "zone_id", "score", equal_is_middle).withColumn(
         "category", K.score_category(F.col("score"))
     )
