@@ -140,11 +140,11 @@ def scan_climate(q):
 
 
 @query("monthly_climate", "climate", """m AS (SELECT point, month(make_date(year, 1, 1) + (yday - 1) * INTERVAL 1 DAY)::INTEGER AS month, prcp, tmax, tmin, srad FROM fx_climate)
-SELECT point, month, round(avg(prcp), 6) AS prcp_mean, round(coalesce(stddev_samp(prcp), 0.1e0), 6) AS prcp_sd, round(coalesce(skewness(prcp), 0e0), 5) AS prcp_skew, round(avg(CASE WHEN prcp > 0 THEN 1e0 ELSE 0e0 END), 6) AS p_wet_dry,
+SELECT point, month, round(avg(prcp), 5) AS prcp_mean, round(coalesce(stddev_samp(prcp), 0.1e0), 6) AS prcp_sd, round(coalesce(skewness(prcp), 0e0), 5) AS prcp_skew, round(avg(CASE WHEN prcp > 0 THEN 1e0 ELSE 0e0 END), 6) AS p_wet_dry,
   round(least(1e0, avg(CASE WHEN prcp > 0 THEN 1e0 ELSE 0e0 END) * 1.5e0), 6) AS p_wet_wet, round(avg(tmax), 6) AS tmax_mean, round(avg(tmin), 6) AS tmin_mean, round(avg(srad) * 2.064e0, 6) AS sol_rad FROM m GROUP BY 1, 2""")
 def monthly(q):
     m = U.monthly_climate(U.with_dates(q.climate))
-    return m.select("point", "month", r6("prcp_mean"), r6("prcp_sd"), r6("prcp_skew", digits=5), r6("p_wet_dry"), r6("p_wet_wet"), r6("tmax_mean"), r6("tmin_mean"), r6("sol_rad"))
+    return m.select("point", "month", r6("prcp_mean", digits=5), r6("prcp_sd"), r6("prcp_skew", digits=5), r6("p_wet_dry"), r6("p_wet_wet"), r6("tmax_mean"), r6("tmin_mean"), r6("sol_rad"))
 
 
 @query("hillslope_slope", "cells", """m AS (SELECT ws_id, avg(c) AS mx, avg(r) AS my, avg(z) AS mz, max(z) AS zx, min(z) AS zn FROM fx_cells GROUP BY 1),
