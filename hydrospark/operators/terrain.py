@@ -384,20 +384,17 @@ def flat_steps(cells: DataFrame, z: str, out: str = "flat_steps") -> DataFrame:
     state = cut(n.where(F.col(z).isNotNull()).select(
         cell_id("r", "c").alias("cell"), drains.alias("_ok"), F.array_compact(F.array(*equal)).alias("_eq")
     ))
+    # only flats and the cells beside them take part in the rounds
     links = cut(state.where(~F.col("_ok")).select("cell", F.explode("_eq").alias("near")))
-    done = state.select("cell", F.when(F.col("_ok"), F.lit(0)).alias(out))
-    front, k = state.where("_ok").select("cell"), 0
-    parts = [done.where(F.col(out) == 0)]
-    left = cut(links.select("cell").distinct())
-    while not left.isEmpty():
+    steps = state.where("_ok OR size(_eq) > 0").select("cell", F.when(F.col("_ok"), F.lit(0)).alias(out))
+    steps, k = cut(steps), 0
+    while True:
+        front = steps.where(F.col(out) == k).select(F.col("cell").alias("near"))
+        reached = links.join(front, "near", "left_semi").select("cell").distinct().withColumn("_hit", F.lit(True))
         k += 1
-        nxt = cut(links.join(front.select(F.col("cell").alias("near")), "near", "left_semi").select("cell").distinct().join(left, "cell", "left_semi"))
-        if nxt.isEmpty():
+        steps = cut(steps.join(reached, "cell", "left").select(
+            "cell", F.coalesce(out, F.when(F.col("_hit"), F.lit(k))).alias(out)
+        ))
+        if steps.where(F.col(out) == k).isEmpty():
             break
-        parts.append(nxt.withColumn(out, F.lit(k)))
-        left = cut(left.join(nxt, "cell", "left_anti"))
-        front = nxt
-    steps = parts[0]
-    for p in parts[1:]:
-        steps = steps.unionByName(p)
     return cells.withColumn("cell", cell_id("r", "c")).join(steps, "cell", "left").drop("cell")
