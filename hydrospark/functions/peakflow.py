@@ -99,11 +99,14 @@ def rain_type_or_default(kind: Column) -> Column:
 
 def unit_peak(ia_in: Column, p_in: Column, tc_hr: Column, kind: Column) -> Column:
     """Unit peak discharge (m3/s per cm per km2); null for input that has no meaning."""
-    ok = (tc_hr > 0) & (p_in > 0) & (ia_in >= 0) & kind.isin(*UNIT_PEAK)
+    ok = unit_peak_error(ia_in, p_in, tc_hr, kind).isNull()
     ratio = F.try_divide(ia_in, p_in)
-    t = F.log10(F.when(ok, tc_hr))
     c0, c1, c2 = (unit_coefficient(kind, ratio, i) for i in range(3))
-    return F.when(ok, F.pow(F.lit(10.0), c0 + c1 * t + c2 * t * t - 2.366))
+    return unit_peak_from(ok, F.log10(F.when(ok, tc_hr)), c0, c1, c2)
+
+
+def unit_peak_from(ok: Column, log_tc: Column, c0: Column, c1: Column, c2: Column) -> Column:
+    return F.when(ok, F.pow(F.lit(10.0), c0 + c1 * log_tc + c2 * log_tc * log_tc - 2.366))
 
 
 def unit_peak_error(ia_in: Column, p_in: Column, tc_hr: Column, kind: Column) -> Column:

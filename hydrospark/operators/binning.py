@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hydrospark.operators.ordered import ranked, running_total
+from hydrospark.session import cut
 
 
 def value_range(cells: DataFrame, value: str) -> Column:
@@ -49,7 +50,7 @@ def right_closed_bins(cells: DataFrame, value: str, out: str, n: int = 4) -> Dat
 def softmax_bins(cells: DataFrame, value: str, out: str, n: int = 5) -> DataFrame:
     """Classes 1 .. n cut where the cumulative softmax of the distinct values passes k/n."""
     v = F.col(value)
-    d = cells.where(v.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    d = cut(cells.where(v.isNotNull()).select(value).distinct())
     g = value_range(d, value)
     norm = (v - F.col("_g.lo")) / (F.col("_g.hi") - F.col("_g.lo") + 1e-10)
     weighted = d.withColumn("_g", g).withColumn("_e", F.exp(norm)).select(value, "_e")
@@ -68,6 +69,8 @@ def softmax_bins(cells: DataFrame, value: str, out: str, n: int = 5) -> DataFram
 
 def rank_score(zones: DataFrame, value: str, tie: str, out: str = "score", equal_is_middle: bool = True) -> DataFrame:
     """Scores 0 .. 5 spread evenly by rank; null stays null. One row, or all equal values, score 2.5."""
+    # ranking reads its input several times; the zone table is small beside the cells it comes from
+    zones = cut(zones)
     r = ranked(zones, value, tie, None, "_rk", "_n")
     g = value_range(zones, value)
     even = F.try_divide(5.0 * (F.col("_rk") - 1), F.col("_n") - 1)

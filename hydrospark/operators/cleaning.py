@@ -11,7 +11,15 @@ from hydrospark.schema import has_column
 def clean_na(df: DataFrame, numeric: list[str] | None = None, text: list[str] | None = None) -> DataFrame:
     """NA tokens to null; numeric columns that do not parse become null. One projection."""
     numeric = [c for c in (numeric or H.NUMERIC_COLUMNS) if has_column(df, c)]
-    new = {c: H.clean_number(F.col(c)) for c in numeric}
+    kinds = dict(df.dtypes)
+
+    def number(c: str):
+        """Columns that are numbers already only lose NaN; text is checked for tokens and parsed."""
+        if kinds[c] in ("double", "float"):
+            return F.nanvl(F.col(c), F.lit(None).cast("double"))
+        return H.clean_number(F.col(c)) if kinds[c] == "string" else F.col(c).cast("double")
+
+    new = {c: number(c) for c in numeric}
     new |= {c: H.clean_text(F.col(c)) for c in (text or []) if has_column(df, c)}
     return df.withColumns(new) if new else df
 

@@ -68,16 +68,23 @@ def graphical_event(watersheds: DataFrame, depth_in: float, ref_compat: bool = F
 
 
 def _graphical(rows: DataFrame, depth, kind, period, bound, ref_compat: bool) -> DataFrame:
-    cn, tc = F.col("cn_val"), F.col("tc_min") / 60
-    ia = P.initial_abstraction(cn)
-    fp = P.wetland_factor(P.wetland_share(F.col("wet_a_ha"), F.col("area_ha")))
-    unit = P.unit_peak(ia, depth, tc, kind)
-    runoff = P.runoff_depth(depth, cn, ref_compat)
     twice = 2.54 * 2.54 if ref_compat and "v" not in rows.columns else 2.54
-    return rows.select(
-        "point_id", period.alias("return_period"), bound.alias("bound"), (depth * twice).alias("p_cm"),
-        P.q_graphical(unit, runoff, F.col("area_ha"), fp).alias("q_cms"),
-        P.unit_peak_error(ia, depth, tc, kind).alias("error"),
+    # staged columns: the bracket expressions repeat their input many times, so it must be a plain column
+    base = rows.withColumns({
+        "_p": depth, "_kind": kind, "_tc": F.col("tc_min") / 60, "_ia": P.initial_abstraction(F.col("cn_val")),
+        "_share": P.wetland_share(F.col("wet_a_ha"), F.col("area_ha")), "_period": period, "_bound": bound,
+    })
+    base = base.withColumns({
+        "_ratio": F.try_divide("_ia", "_p"), "_error": P.unit_peak_error(F.col("_ia"), F.col("_p"), F.col("_tc"), F.col("_kind")),
+        "_fp": P.wetland_factor(F.col("_share")), "_runoff": P.runoff_depth(F.col("_p"), F.col("cn_val"), ref_compat),
+    })
+    ok = F.col("_error").isNull()
+    base = base.withColumns({f"_c{i}": P.unit_coefficient(F.col("_kind"), F.col("_ratio"), i) for i in range(3)}).withColumn(
+        "_t", F.log10(F.when(ok, F.col("_tc"))))
+    unit = P.unit_peak_from(ok, F.col("_t"), F.col("_c0"), F.col("_c1"), F.col("_c2"))
+    return base.select(
+        "point_id", F.col("_period").alias("return_period"), F.col("_bound").alias("bound"), (F.col("_p") * twice).alias("p_cm"),
+        P.q_graphical(unit, F.col("_runoff"), F.col("area_ha"), F.col("_fp")).alias("q_cms"), F.col("_error").alias("error"),
     )
 
 
