@@ -17,7 +17,7 @@ def small(df, *keep):
 
 
 def run(q, **kw):
-    out = D.delineate(q.cells.select("r", "c", "z"), GRID, small_roads(q), threshold=60.0, min_area_ha=0.2, raise_m=0.3, burn_m=1.0,
+    out = D.delineate(q.cells.select("r", "c", "z"), GRID, small_roads(q), threshold=10.0, min_area_ha=0.05, raise_m=0.3, burn_m=1.0,
                       boundary_cells=q.cells.where("c BETWEEN 3 AND 97"), **kw)
     kept = out["watersheds"].withColumn("flagged", F.lit(False)).unionByName(out["flagged"].withColumn("flagged", F.lit(True)))
     return kept.select(*COLS, "flagged", *[r6(c, digits=4) for c in NUM])
@@ -35,7 +35,7 @@ def c1_found(q):
 
 @query("c1_gauges")
 def c1_gauges(q):
-    return run(q, gauges=small(q.gauges, "gauge_id"), hydro_enforce=False)
+    return run(q, gauges=small(q.gauges, "gauge_id"), hydro_enforce=False, snap_m=60.0)
 
 
 HS = "CASE piece_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 4 END"

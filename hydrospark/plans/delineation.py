@@ -52,6 +52,8 @@ def delineate(cells: DataFrame, grid: Grid, roads: DataFrame, points: DataFrame
     if points is not None:
         on_road = S.snap_to_lines(points, roads, snap_m).select("point_id", F.col("snap_x").alias("x"), F.col("snap_y").alias("y"))
         marks = cut(on_road.withColumn("road_width_m", width))
+    elif not hydro_enforce:
+        marks = on_road = None
     else:
         _, flow0, acc0 = drainage(road_cells, grid, z)
         marks = cut(as_points(S.line_crossings(roads, stream_lines(flow0, acc0, grid, threshold), 16 * abs(grid.dx))).withColumn("road_width_m", width))
