@@ -6,12 +6,17 @@ spreads the rows; the function below fits a batch of them together with numpy.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+# functions of this module travel with the job, so executors need numpy and pandas but not this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FIT = ("loc0 double, loc1 double, lsc0 double, lsc1 double, shape double, nll double, n int, k int, "
        "cov array<double>, converged boolean")
 # columns of the parameter vector: location, location slope, log scale, log-scale slope, shape
