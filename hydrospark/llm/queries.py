@@ -35,3 +35,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hydrospark.llm.quality import STATS, quality_rules
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return quality_rules(docs).select("doc_id", *STATS, "base_failed", "kept", F.round("d2", 4).alias("d2"))
+
+
+@register("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hydrospark.llm.language import fit, identify
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = fit(docs.filter("not held_out"))
+    return identify(docs.select("doc_id", "held_out", "text"), model, spans=False).drop("text")
