@@ -44,3 +44,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
     model = fit(docs.filter("not held_out"))
     return identify(docs.select("doc_id", "held_out", "text"), model, spans=False).drop("text")
+
+
+@register("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hydrospark.llm.licenses import scan_licenses
+    return scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "license_spans")
