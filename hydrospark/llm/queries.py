@@ -50,3 +50,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hydrospark.llm.licenses import scan_licenses
     return scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "license_spans")
+
+
+@register("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hydrospark.llm.secrets import fit, scan_secrets
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan_secrets(docs, fit(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_field", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
