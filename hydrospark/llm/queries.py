@@ -58,3 +58,13 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan_secrets(docs, fit(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_field", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@register("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
+    from hydrospark.llm.tokens import section_tokens
+    counted = section_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return counted.withColumns({
+        "n_sections": F.size("sections").cast("bigint"),
+        "n_crossing": F.aggregate("sections", F.lit(0).cast("bigint"), lambda n, s: n + s["n_crossing"]),
+    })
