@@ -68,3 +68,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/t
         "n_sections": F.size("sections").cast("bigint"),
         "n_crossing": F.aggregate("sections", F.lit(0).cast("bigint"), lambda n, s: n + s["n_crossing"]),
     })
+
+
+@register("op7_warc")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hydrospark.llm.warc import page_records, write_pages
+    path = write_pages(read_table(spark, sf_dir, "pages"))
+    return page_records(spark, path).drop("target_uri")
