@@ -75,3 +75,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hydrospark.llm.warc import page_records, write_pages
     path = write_pages(read_table(spark, sf_dir, "pages"))
     return page_records(spark, path).drop("target_uri")
+
+
+@register("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hydrospark.llm.neardup import jaccard_classes
+    return jaccard_classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
