@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hydrospark.llm import linedup
 from hydrospark.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +82,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hydrospark.llm.neardup import jaccard_classes
     return jaccard_classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+LEAST_WORDS = 20
+
+
+@register("op3_line_dedup", linedup.SQL.format(w=LEAST_WORDS))
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=LEAST_WORDS)
