@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hydrospark.llm import linedup
+from hydrospark.llm import decontaminate, linedup
 from hydrospark.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,8 @@ LEAST_WORDS = 20
 @register("op3_line_dedup", linedup.SQL.format(w=LEAST_WORDS))
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=LEAST_WORDS)
+
+
+@register("op8_decontamination", decontaminate.sql())
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
