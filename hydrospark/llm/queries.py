@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hydrospark.llm import decontaminate, linedup
+from hydrospark.llm import decontaminate, linedup, mixing
 from hydrospark.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_decontamination", decontaminate.sql())
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op9_mixing", mixing.sql())
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
