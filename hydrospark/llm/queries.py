@@ -100,3 +100,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_mixing", mixing.sql())
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
