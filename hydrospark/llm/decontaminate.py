@@ -33,7 +33,9 @@ def template(token: Column) -> Column:
 
 
 def slot_value(token: Column) -> Column:
-    return F.lower(F.regexp_replace(token, r"^[.!?\n]\s*", ""))
+    """The number of a number token, the lower-cased word of another."""
+    bare = F.regexp_replace(token, r"^[.!?\n]\s*", "")
+    return F.when(F.substring(bare, 1, 1).between("0", "9"), F.regexp_extract(bare, r"^[0-9]+([.,][0-9]+)*", 0)).otherwise(F.lower(bare))
 
 
 def windows(rows: DataFrame, keys: list[str], text: str, window: int) -> DataFrame:
@@ -59,8 +61,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     sentence are placeholders, other words are lower-cased. Windows of ``window`` template tokens are
     joined by hash; along each alignment of a document with an item the templates are compared, and the
     values in the slots must map one to one from the item to the document (the same values: a copy; other
-    values throughout: a re-parameterised copy; mixed up: chance, left out). A pair is a leak if
-    alignments that pass cover at least ``coverage`` of the item's tokens.
+    values throughout: a re-parameterised copy; mixed up: chance, left out). A pair is a leak if one
+    alignment that passes covers at least ``coverage`` of the item's tokens; scattered windows of a long
+    text do not add up. The fullest alignment is told, of equals the one with fewest changes, then the first.
 
     Columns: id, item, ``n_tokens`` of the item covered, ``coverage``, ``n_slots`` compared,
     ``n_changed`` slots with another value. Items shorter than ``window`` tokens and null texts match
@@ -80,21 +83,19 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     ids = cut(matched.select(F.col("doc").alias("wanted")).distinct())
     texts = docs.join(bounded_broadcast(ids, 200_000), F.col("doc").eqNullSafe(F.col("wanted")), "left_semi").distinct()
     theirs = slots(texts, ["doc"], "text").select("doc", F.col("at"), F.col("template").alias("t"), F.col("value").alias("v"))
-    ours = cut(slots(bench, ["item"], "text").select("item", F.col("at").alias("iat"), F.col("template").alias("u"), F.col("value").alias("w")))
-    both = matched.join(bounded_broadcast(ours, 500_000), ["item", "iat"]).withColumn("at", F.col("iat") + F.col("shift")).withColumnRenamed("doc", "mdoc")
+    ours = cut(slots(bench, ["item"], "text").select(F.col("item").alias("oitem"), F.col("at").alias("oat"), F.col("template").alias("u"), F.col("value").alias("w")))
+    both = matched.join(bounded_broadcast(ours, 500_000), F.col("item").eqNullSafe(F.col("oitem")) & (F.col("iat") == F.col("oat")))
+    both = both.withColumn("at", F.col("iat") + F.col("shift")).withColumnRenamed("doc", "mdoc")
     both = both.join(theirs, F.col("mdoc").eqNullSafe(theirs["doc"]) & (both["at"] == theirs["at"])).filter("t = u")
     slot = F.col("u").startswith("<")
     judged = both.groupBy("doc", "item", "shift").agg(
         F.count(F.when(slot, 1)).alias("n_slots"), F.count(F.when(slot & (F.col("v") != F.col("w")), 1)).alias("n_changed"),
         F.count_distinct(F.when(slot, F.struct("w", "v"))).alias("pairs"), F.count_distinct(F.when(slot, F.col("w"))).alias("from"),
-        F.count_distinct(F.when(slot, F.col("v"))).alias("to"), F.collect_set("iat").alias("covered"))
-    fair = judged.filter("pairs = from AND pairs = to")
-    sizes = bench.groupBy("item").agg(F.max(F.size(tokens(F.col("text")))).alias("size"))
-    found = fair.withColumn("iat", F.explode("covered")).groupBy("doc", "item").agg(F.count_distinct("iat").alias("n_tokens"))
-    counts = fair.groupBy("doc", "item").agg(F.sum("n_slots").alias("n_slots"), F.sum("n_changed").alias("n_changed"))
-    same = counts.withColumnRenamed("doc", "cdoc").withColumnRenamed("item", "citem")
-    out = found.join(same, F.col("doc").eqNullSafe(F.col("cdoc")) & F.col("item").eqNullSafe(F.col("citem"))).join(sizes, "item") \
-        .withColumn("coverage", F.col("n_tokens") / F.col("size")).filter(F.col("coverage") >= coverage)
+        F.count_distinct(F.when(slot, F.col("v"))).alias("to"), F.count_distinct("iat").alias("n_tokens"))
+    best = judged.filter("pairs = from AND pairs = to").groupBy("doc", "item").agg(F.max(F.struct("n_tokens", (-F.col("n_changed")).alias("col2"), (-F.col("shift")).alias("col3"), "n_slots")).alias("b"))
+    best = best.select("doc", "item", F.col("b.n_tokens").alias("n_tokens"), F.col("b.n_slots").alias("n_slots"), (-F.col("b.col2")).alias("n_changed"))
+    sizes = bench.groupBy(F.col("item").alias("sitem")).agg(F.max(F.size(tokens(F.col("text")))).alias("size"))
+    out = best.join(sizes, F.col("item").eqNullSafe(F.col("sitem"))).withColumn("coverage", F.col("n_tokens") / F.col("size")).filter(F.col("coverage") >= coverage)
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_tokens", F.round("coverage", 6).alias("coverage"), "n_slots", "n_changed")
 
 
@@ -115,7 +116,7 @@ WITH src AS (
 ), bare AS (
   SELECT side, id, pos, regexp_replace(x, '^[.!?\n]\s*', '') AS y, substr(x, 1, 1) IN ('.', '!', '?', chr(10)) AS opens FROM tok
 ), tpl AS (
-  SELECT side, id, pos, lower(y) AS v,
+  SELECT side, id, pos, CASE WHEN substr(y, 1, 1) BETWEEN '0' AND '9' THEN regexp_extract(y, '^[0-9]+([.,][0-9]+)*') ELSE lower(y) END AS v,
     CASE WHEN substr(y, 1, 1) BETWEEN '0' AND '9' THEN
            CASE WHEN lower(regexp_replace(y, '^[0-9]+([.,][0-9]+)* ?', '')) IN ({units}) THEN '<num><unit>'
                 ELSE '<num>' || lower(regexp_replace(y, '^[0-9]+([.,][0-9]+)* ?', '')) END
@@ -131,15 +132,14 @@ WITH src AS (
 ), judged AS (
   SELECT doc, item, shift, count(*) FILTER (b.t[1] = '<') AS n_slots, count(*) FILTER (b.t[1] = '<' AND b.v <> d.v) AS n_changed,
          count(DISTINCT b.v || ' / ' || d.v) FILTER (b.t[1] = '<') AS pairs, count(DISTINCT b.v) FILTER (b.t[1] = '<') AS f,
-         count(DISTINCT d.v) FILTER (b.t[1] = '<') AS g
+         count(DISTINCT d.v) FILTER (b.t[1] = '<') AS g, count(DISTINCT ipos) AS n_tokens
   FROM hit JOIN tpl b ON b.side = 'b' AND b.id = item AND b.pos = ipos JOIN tpl d ON d.side = 'd' AND d.id = doc AND d.pos = ipos + shift
   WHERE b.t = d.t GROUP BY ALL
-), fair AS (SELECT * FROM judged WHERE pairs = f AND pairs = g
-), found AS (SELECT doc, item, count(DISTINCT ipos) AS n_tokens FROM hit SEMI JOIN fair USING (doc, item, shift) GROUP BY ALL
-), counts AS (SELECT doc, item, sum(n_slots) AS n_slots, sum(n_changed) AS n_changed FROM fair GROUP BY ALL
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc, item ORDER BY n_tokens DESC, n_changed, shift) AS k FROM judged WHERE pairs = f AND pairs = g
 ), sizes AS (SELECT id AS item, count(*) AS size FROM tpl WHERE side = 'b' GROUP BY ALL)
-SELECT doc AS doc_id, item AS item_id, n_tokens, round(n_tokens / size, 6) AS coverage, CAST(n_slots AS BIGINT) AS n_slots, CAST(n_changed AS BIGINT) AS n_changed
-FROM found JOIN counts USING (doc, item) JOIN sizes USING (item) WHERE n_tokens / size >= {coverage}
+SELECT doc AS doc_id, item AS item_id, n_tokens, round(n_tokens / size, 6) AS coverage, n_slots, n_changed
+FROM best JOIN sizes USING (item) WHERE k = 1 AND n_tokens / size >= {coverage}
 """
 
 
