@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +21,21 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def lines_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Section bounds of all texts: (text number, start, end) of the lines that are not empty, without their line feeds."""
+#: A section ends after a sentence's end and the blanks behind it, or before a line feed.
+SENTENCE_END = re.compile(r"[.!?]+[\x20\t]+")
+
+
+def sections_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Section bounds of all texts: (text number, start, end) of the sentences of each line, without line feeds."""
     doc, start, end = [], [], []
     for i, t in enumerate(texts):
         at = 0
         for line in t.split("\n"):
             if line:
-                doc.append(i)
-                start.append(at)
-                end.append(at + len(line))
+                cuts = [at + m.end() for m in SENTENCE_END.finditer(line) if m.end() < len(line)]
+                start += [at, *cuts]
+                end += [*cuts, at + len(line)]
+                doc += [i] * (len(cuts) + 1)
             at += len(line) + 1
     return np.array(doc, np.int64), np.array(start, np.int64), np.array(end, np.int64)
 
@@ -58,16 +64,19 @@ def allocate(starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarra
     first = np.searchsorted(hi, starts, side="right")       # first section ending after the token's start
     last = np.searchsorted(lo, ends, side="left") - 1       # last section starting before the token's end
     got = np.where(first <= last, first, -1)
-    for i in np.flatnonzero(last > first):
+    held = lambda k, i: np.minimum(hi[k], ends[i]) - np.maximum(lo[k], starts[i])
+    two = np.flatnonzero(last == first + 1)
+    got[two] = np.where(held(last[two], two) > held(first[two], two), last[two], first[two])
+    for i in np.flatnonzero(last > first + 1):
         k = np.arange(first[i], last[i] + 1)
-        got[i] = k[np.argmax(np.minimum(hi[k], ends[i]) - np.maximum(lo[k], starts[i]))]
+        got[i] = k[np.argmax(held(k, i))]
     return got
 
 
 def _count(part: pa.RecordBatch, id_col: str, text: str, tools) -> dict[str, np.ndarray]:
     enc, size_of = tools()
     texts = [t or "" for t in part.column(text).to_pylist()]
-    doc, lo, hi = lines_of(texts)
+    doc, lo, hi = sections_of(texts)
     bound = np.searchsorted(doc, np.arange(len(texts) + 1))
     counts, crossing, outside, total = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
@@ -85,7 +94,7 @@ def _count(part: pa.RecordBatch, id_col: str, text: str, tools) -> dict[str, np.
 
 
 def section_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokens of every non-empty line of every text: one row per document, with a list of its sections.
+    """Tokens of every sentence of every line of every text: one row per document, with a list of its sections.
 
     ``n_tokens`` counts the whole text encoded once; ``sections`` lists start, end, tokens and how many
     of these tokens reach over the section's border; ``n_outside`` counts tokens that touch no section
