@@ -153,13 +153,22 @@ def c7(q):
     return K.flags_wide(flags, [25, 50, 100]).withColumn("qc_cms", r6("qc_cms"))
 
 
-@query("c12", "culverts watersheds", f"""{FLAGS}, t AS (SELECT * FROM flags WHERE rp = (SELECT max(rp) FROM flags)),
+@query("c12", "culverts watersheds", f"""{FLAGS}, inv AS (SELECT point_id, point_id % 19 = 0 AS bridge FROM fx_culverts), own AS (SELECT point_id FROM inv WHERE NOT bridge),
+t AS (SELECT * FROM flags WHERE rp = 100 AND point_id IN (SELECT point_id FROM own)),
 sc AS (SELECT CASE WHEN area_ha < 100 THEN 'Low' WHEN area_ha < 400 THEN 'High' ELSE 'Very High' END AS category FROM fx_watersheds)
 SELECT 'inventory' AS section, 'crossings' AS item, count(DISTINCT point_id) AS value, NULL::DOUBLE AS pct FROM fx_culverts
-UNION ALL SELECT 'inventory', 'culverts', count(DISTINCT point_id), NULL FROM fx_culverts UNION ALL SELECT 'inventory', 'bridges', 0, NULL
-UNION ALL SELECT 'hydrologic', qc_method, count_if(vuln = 'Vulnerable')::BIGINT, round(count_if(vuln = 'Vulnerable') * 100.0e0 / count(DISTINCT point_id), 6) FROM t GROUP BY qc_method
+UNION ALL SELECT 'inventory', 'culverts', count(*), NULL FROM own UNION ALL SELECT 'inventory', 'bridges', count(*), NULL FROM inv WHERE bridge
+UNION ALL SELECT 'hydrologic', qc_method, count_if(vuln = 'Vulnerable')::BIGINT, round(count_if(vuln = 'Vulnerable') * 100.0e0 / (SELECT count(*) FROM own), 6) FROM t GROUP BY qc_method
 UNION ALL SELECT 'erosion', 'soil loss', count_if(category <> 'Low')::BIGINT, round(count_if(category <> 'Low') * 100.0e0 / count(*), 6) FROM sc""")
 def c12(q):
     a = F.col("area_ha")
     zones = q.watersheds.select(F.when(a < 100, "Low").when(a < 400, "High").otherwise("Very High").alias("category"))
-    return S.vulnerability_summary(all_flags(q), q.culverts, {"soil loss": zones}, ["qc_method"]).withColumn("pct", r6("pct"))
+    wide = peak_q(q).groupBy("point_id").pivot("return_period", [25, 50, 100]).agg(F.first("q_cms"))
+    wide = wide.select("point_id", *[F.col(str(p)).alias(f"RM{p}yrE") for p in (25, 50, 100)])
+    flags = None
+    for m in H.METHODS:
+        one = K.capacity_vulnerability(q.culverts, wide, m)
+        flags = one if flags is None else flags.unionByName(one)
+    # every 19th crossing is a bridge; every 23rd has no shape on record
+    own = F.when(F.col("point_id") % 19 == 0, F.lit("Bridge")).when(F.col("point_id") % 23 != 0, F.col("pour_sha"))
+    return S.vulnerability_summary(flags, q.culverts.withColumn("pour_sha", own), {"soil loss": zones}, ["qc_method"]).withColumn("pct", r6("pct"))

@@ -108,7 +108,7 @@ def c10(q):
 
 
 SOILJ = "sj AS (SELECT h.cokey, h.chkey, coalesce(h.kffact, (h.silt * 0.3e0 + h.clay * 0.2e0) / 100) AS k, h.clay, h.sand, c.mukey, c.comppct, t.texdesc FROM fx_horizon h JOIN fx_component c ON c.cokey = h.cokey LEFT JOIN fx_texture t ON t.chkey = h.chkey)"
-SOILM = f"""{SOILJ}, sm AS (SELECT mukey, sum(k * comppct) / sum(comppct) AS kffact, sum(clay * comppct) / sum(comppct) AS clay, sum(sand * comppct) / sum(comppct) AS sand FROM sj GROUP BY 1),
+SOILM = f"""{SOILJ}, sm AS (SELECT mukey, sum((k * comppct)::DECIMAL(28,9))::DOUBLE / sum((CASE WHEN k IS NOT NULL THEN comppct END)::DECIMAL(28,9))::DOUBLE + 1e-9 AS kffact, sum((clay * comppct)::DECIMAL(28,9))::DOUBLE / sum((CASE WHEN clay IS NOT NULL THEN comppct END)::DECIMAL(28,9))::DOUBLE + 1e-9 AS clay, sum((sand * comppct)::DECIMAL(28,9))::DOUBLE / sum((CASE WHEN sand IS NOT NULL THEN comppct END)::DECIMAL(28,9))::DOUBLE + 1e-9 AS sand FROM sj GROUP BY 1),
 tn AS (SELECT mukey, texdesc, count(*) AS n FROM sj WHERE texdesc IS NOT NULL GROUP BY 1, 2), tm AS (SELECT mukey, texdesc FROM (SELECT *, row_number() OVER (PARTITION BY mukey ORDER BY n DESC, texdesc) AS k FROM tn) WHERE k = 1)"""
 
 
@@ -123,7 +123,7 @@ def j10(q):
 
 @query("soil_by_mapunit", "horizon component texture mapunit", f"{SOILM} SELECT m.poly_id, m.mukey, round(kffact, 6) AS kffact, round(clay, 6) AS clay, round(sand, 6) AS sand, coalesce(texdesc, 'loam') AS texdesc FROM fx_mapunit m JOIN sm ON sm.mukey = m.mukey LEFT JOIN tm ON tm.mukey = m.mukey")
 def soil_by_mapunit(q):
-    return U.soil_polygons(q.mapunit, U.soil_by_mapunit(soil_joined(q))).select("poly_id", "mukey", r6("kffact"), r6("clay"), r6("sand"), "texdesc")
+    return U.soil_polygons(q.mapunit, U.soil_by_mapunit(soil_joined(q))).select("poly_id", "mukey", *[r6(F.col(c) + 1e-9, c) for c in ("kffact", "clay", "sand")], "texdesc")
 
 
 SP = "s AS (SELECT cokey, chkey, coalesce(kffact, 0.20e0) AS k, clay AS cl FROM fx_horizon)"
@@ -140,11 +140,11 @@ def scan_climate(q):
 
 
 @query("monthly_climate", "climate", """m AS (SELECT point, month(make_date(year, 1, 1) + (yday - 1) * INTERVAL 1 DAY)::INTEGER AS month, prcp, tmax, tmin, srad FROM fx_climate)
-SELECT point, month, round(avg(prcp), 5) AS prcp_mean, round(coalesce(stddev_samp(prcp), 0.1e0), 6) AS prcp_sd, round(coalesce(skewness(prcp), 0e0), 5) AS prcp_skew, round(avg(CASE WHEN prcp > 0 THEN 1e0 ELSE 0e0 END), 6) AS p_wet_dry,
-  round(least(1e0, avg(CASE WHEN prcp > 0 THEN 1e0 ELSE 0e0 END) * 1.5e0), 6) AS p_wet_wet, round(avg(tmax), 6) AS tmax_mean, round(avg(tmin), 6) AS tmin_mean, round(avg(srad) * 2.064e0, 6) AS sol_rad FROM m GROUP BY 1, 2""")
+SELECT point, month, round(sum(prcp::DECIMAL(28,9))::DOUBLE / count(prcp) + 1e-9, 5) AS prcp_mean, round(coalesce(stddev_samp(prcp), 0.1e0), 6) AS prcp_sd, round(coalesce(skewness(prcp), 0e0), 5) AS prcp_skew, round(avg(CASE WHEN prcp > 0 THEN 1e0 ELSE 0e0 END), 6) AS p_wet_dry,
+  round(least(1e0, avg(CASE WHEN prcp > 0 THEN 1e0 ELSE 0e0 END) * 1.5e0), 6) AS p_wet_wet, round(sum(tmax::DECIMAL(28,9))::DOUBLE / count(tmax) + 1e-9, 6) AS tmax_mean, round(sum(tmin::DECIMAL(28,9))::DOUBLE / count(tmin) + 1e-9, 6) AS tmin_mean, round(sum(srad::DECIMAL(28,9))::DOUBLE / count(srad) * 2.064e0 + 1e-9, 6) AS sol_rad FROM m GROUP BY 1, 2""")
 def monthly(q):
     m = U.monthly_climate(U.with_dates(q.climate))
-    return m.select("point", "month", r6("prcp_mean", digits=5), r6("prcp_sd"), r6("prcp_skew", digits=5), r6("p_wet_dry"), r6("p_wet_wet"), r6("tmax_mean"), r6("tmin_mean"), r6("sol_rad"))
+    return m.select("point", "month", r6(F.col("prcp_mean") + 1e-9, "prcp_mean", 5), r6("prcp_sd"), r6("prcp_skew", digits=5), r6("p_wet_dry"), r6("p_wet_wet"), *[r6(F.col(c) + 1e-9, c) for c in ("tmax_mean", "tmin_mean", "sol_rad")])
 
 
 @query("hillslope_slope", "cells", """m AS (SELECT ws_id, avg(c) AS mx, avg(r) AS my, avg(z) AS mz, max(z) AS zx, min(z) AS zn FROM fx_cells GROUP BY 1),

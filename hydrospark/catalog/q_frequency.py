@@ -9,7 +9,7 @@ from hydrospark.plans import frequency as P
 
 DESC = ["d1", "d2", "d3", "d4", "d5", "d6"]
 RPS = [2, 10, 50, 100]
-N_BOOT = 21
+N_BOOT = 501
 
 ERFC = "((((({a5} * t + {a4}) * t + {a3}) * t + {a2}) * t + {a1}) * t)".format(
     a1="0.254829592e0", a2="-0.284496736e0", a3="1.421413741e0", a4="-1.453152027e0", a5="1.061405429e0")

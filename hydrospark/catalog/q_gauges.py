@@ -54,7 +54,7 @@ def storm_onset(q):
 
 def top(q, n):
     rows = series(q).groupBy("site").agg(F.count(F.lit(1)).alias("n_rows"))
-    return G.event_coefficients(G.top_events(G.storm_onsets(G.wet_dry_runs(series(q))), rows, select_top=n))
+    return G.event_coefficients(G.top_events(G.storm_onsets(G.wet_dry_runs(series(q))), rows, top_n=n, ref_compat=True))
 
 
 @query("top_events", "gauge", f"{RUNS}, {TOP.format(n=5)} SELECT site, hour_no, event_rank, round(flow, 4) AS flow FROM top")
@@ -74,7 +74,7 @@ def runoff_c_mean(q):
 
 @query("station_runoff_c", "gauge", f"{RUNS}, {TOP.format(n=10000)}, s AS (SELECT DISTINCT site FROM fx_gauge) SELECT s.site, round(avg(c_event), 5) AS c_runoff FROM s LEFT JOIN top ON s.site = top.site GROUP BY s.site")
 def station_runoff_c(q):
-    return G.station_runoff_c(series(q)).select("site", r6("c_runoff", digits=5))
+    return G.station_runoff_c(series(q), top_n=10_000, ref_compat=True).select("site", r6("c_runoff", digits=5))
 
 
 @query("j26", "gauge descriptors", f"""{RUNS}, {TOP.format(n=10000)}, st AS (SELECT site, avg(c_event) AS c FROM top GROUP BY site),
@@ -82,7 +82,7 @@ own AS (SELECT d.point_id, st.c FROM fx_descriptors d LEFT JOIN st ON d.gws_id =
 SELECT o.point_id, round(coalesce(o.c, dn.c), 5) AS c_runoff FROM own o LEFT JOIN own dn ON dn.point_id = (o.point_id % 10) * 40""")
 def j26(q):
     roi = q.descriptors.select(F.col("point_id").alias("site"), F.lit(1).alias("rank"), ((F.col("point_id") % 10) * 40).alias("donor"))
-    return G.donor_runoff_c(q.descriptors, G.station_runoff_c(series(q)), roi).select("point_id", r6("c_runoff", digits=5))
+    return G.donor_runoff_c(q.descriptors, G.station_runoff_c(series(q), top_n=10_000, ref_compat=True), roi).select("point_id", r6("c_runoff", digits=5))
 
 
 @query("annual_max", "series", f"{ANNUAL} SELECT site, yr, obs_id, round(flow, 6) AS flow, round(flow / area_km2, 9) AS flow_per_area FROM am")

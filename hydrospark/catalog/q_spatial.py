@@ -92,10 +92,13 @@ def j13(q):
     return S.nearest_within(q.gauges, q.points, 30.0, "gauge_id", "point_id").select("gauge_id", "point_id", r6("distance_m"))
 
 
-@query("j14", "points gauges", f"{NEAR} SELECT g.gauge_id, n.point_id, round(coalesce(n.x, g.x), 6) AS x, round(coalesce(n.y, g.y), 6) AS y, n.point_id * 2 AS grp FROM fx_gauges g LEFT JOIN n1 n ON n.gauge_id = g.gauge_id")
+@query("j14", "points gauges", f"""{NEAR}, o AS (SELECT point_id, arg_min(gauge_id, d * 1e9 + gauge_id / 1e6) AS gauge_id FROM n1 GROUP BY 1)
+SELECT p.point_id, o.gauge_id, round(coalesce(g.x, p.x), 6) AS x, round(coalesce(g.y, p.y), 6) AS y, CASE WHEN o.gauge_id IS NULL THEN p.point_id * 2 ELSE g.gauge_id * 3 END AS grp
+FROM fx_points p LEFT JOIN o ON o.point_id = p.point_id LEFT JOIN fx_gauges g ON g.gauge_id = o.gauge_id""")
 def j14(q):
     pts = q.points.withColumn("grp", F.col("point_id") * 2)
-    return S.replace_from_nearest(q.gauges, pts, 30.0, ["grp"]).select("gauge_id", "point_id", r6("x"), r6("y"), "grp")
+    own = q.gauges.withColumn("grp", F.col("gauge_id") * 3)
+    return S.replace_from_nearest(pts, own, 30.0, ["grp"]).select("point_id", "gauge_id", r6("x"), r6("y"), "grp")
 
 
 @query("j15", "points gauges", """d AS (SELECT p.point_id, g.gauge_id, sqrt(pow(g.x - p.x, 2) + pow(g.y - p.y, 2)) AS d FROM fx_points p, fx_gauges g)

@@ -51,11 +51,16 @@ def storm_onsets(runs: DataFrame, site: str = "site", min_dry_rows: int = 7) ->
 
 
 def top_events(onsets: DataFrame, site_rows: DataFrame, site: str = "site", ts: str = "ts", flow: str = "flow",
-               select_top: int = 10_000) -> DataFrame:
-    """Largest onset events per site; a record shorter than ``select_top`` keeps 30 % of its row count."""
-    k = site_rows.select(
-        site, F.when(F.col("n_rows") < select_top, F.floor(0.3 * F.col("n_rows"))).otherwise(select_top).alias("_k")
-    )
+               top_n: int | None = None, top_share: float | None = None, ref_compat: bool = False) -> DataFrame:
+    """Onset events by size per site: all of them, the ``top_n`` largest, or ``top_share`` of the record's rows.
+
+    ``ref_compat``: a record with fewer rows than ``top_n`` keeps 30 % of its row count, others ``top_n``.
+    """
+    everything = F.lit((1 << 63) - 1)
+    n = F.lit(top_n).cast("bigint") if top_n is not None else everything
+    share = F.floor(top_share * F.col("n_rows")).cast("bigint") if top_share is not None else everything
+    limit = F.when(F.col("n_rows") < n, F.floor(0.3 * F.col("n_rows"))).otherwise(n) if ref_compat else F.least(n, share)
+    k = site_rows.select(site, limit.alias("_k"))
     # onsets are few beside the record they come from: written once, then ranked without rereading the record
     src = cut(onsets.where(F.col(flow).isNotNull()).withColumn("_sec", clock_seconds(ts)))
     r = ranked(src, flow, "_sec", [site], "event_rank", "_n", descending=True)
@@ -75,11 +80,11 @@ def mean_runoff_c(events: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def station_runoff_c(series: DataFrame, site: str = "site", ts: str = "ts", pi: str = "pi", flow: str = "flow",
-                     area: str = "area_km2", select_top: int = 10_000) -> DataFrame:
-    """Coefficient of every station in one job; a station without a usable event gets null."""
+                     area: str = "area_km2", top_n: int | None = None, top_share: float | None = None, ref_compat: bool = False) -> DataFrame:
+    """Coefficient of every station in one job, from the events that ``top_events`` selects; a station without a usable one gets null."""
     rows = series.groupBy(site).agg(F.count(F.lit(1)).alias("n_rows"))
     runs = wet_dry_runs(series, site, ts, pi)
-    top = top_events(storm_onsets(runs, site), rows, site, ts, flow, select_top)
+    top = top_events(storm_onsets(runs, site), rows, site, ts, flow, top_n, top_share, ref_compat)
     per_site = mean_runoff_c(event_coefficients(top, flow, area, pi), [site])
     return rows.select(site).join(per_site, site, "left")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hydrospark.functions import classes as K, hydraulics as H
-from hydrospark.schema import attach
 
 
 def load_lookup(wide: DataFrame, class_col: str, value_cols: list[str], key_name: str = "column", value_name: str = "value",
@@ -34,12 +33,12 @@ def runoff_table(wide: DataFrame, class_col: str) -> DataFrame:
 
 
 def join_curve_number(cells: DataFrame, table: DataFrame) -> DataFrame:
-    return attach(cells, table, ["nlcd", "hsg"], "left")
+    return cells.join(table, ["nlcd", "hsg"], "left")
 
 
 def join_runoff_coefficient(cells: DataFrame, table: DataFrame, slope_pct: str = "slope_pct") -> DataFrame:
     lut = table.select("nlcd", "hsg", "slope_cat", F.col("c").alias("c_runoff"))
-    return attach(cells.withColumn("slope_cat", K.slope_category(F.col(slope_pct))), lut, ["nlcd", "hsg", "slope_cat"], "left")
+    return cells.withColumn("slope_cat", K.slope_category(F.col(slope_pct))).join(lut, ["nlcd", "hsg", "slope_cat"], "left")
 
 
 def susceptibility_code(text: Column) -> Column:

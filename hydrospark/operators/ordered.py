@@ -1,7 +1,7 @@
 """Order-dependent operators that never put one key's rows into one task.
 
 A plain window over a hot site or over the whole table sends all its rows to a single task. Here
-rows are first put into ordered chunks (calendar chunks for series, value ranges for ranks). Chunk
+rows are first put into ordered chunks (calendar chunks for series, the ranges of a sort for ranks). Chunk
 totals are small and carry what crosses a chunk border; the row-level window runs within a chunk.
 """
 
@@ -9,75 +9,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from hydrospark.session import cut
 
-def split_points(df: DataFrame, columns: list[str], n: int) -> dict[str, list[float]]:
-    """At most ``n`` ordered split points per column from one mergeable sketch job.
-
-    The result is a fixed-size list, so it may pass through the driver; as literals in the plan it
-    makes every later evaluation cut the rows at the same places.
-    """
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), probs, F.lit(10_000)).alias(c) for c in columns]
-    ).first()
-    return {c: sorted(set(row[c] or [])) for c in columns}
 
+def placed(df: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """The rows sorted over all partitions, with ``_pid`` and ``_idx``, and per partition ``_off``: the rows before it.
 
-def interval_index(v: Column, bounds: list[float]) -> Column:
-    """2*i+1 when ``v`` equals bound i, else 2*i for the open gap below bound i (binary search)."""
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(2 * lo)
-        mid = (lo + hi) // 2
-        b = F.lit(float(bounds[mid]))
-        return F.when(v < b, pick(lo, mid)).when(v == b, F.lit(2 * mid + 1)).otherwise(pick(mid + 1, hi))
-    return pick(0, len(bounds))
+    One range repartition, written once, so that later reads agree on the places. The second table has
+    one row per partition.
+    """
+    src = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = cut(src).withColumns({"_pid": F.shiftright("_id", 33), "_idx": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+    counts = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    return rows, cut(counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
 
 
 def ranked(df: DataFrame, value: str, tie: str, group: list[str] | None = None, out: str = "rank",
-           out_n: str = "group_rows", descending: bool = False, n_chunks: int = 64) -> DataFrame:
+           out_n: str = "group_rows", descending: bool = False) -> DataFrame:
     """Exact 1-based row number by (value, tie) per ``group`` (whole table when None) and group size.
 
-    Null values are dropped. A value that holds many rows has a range of its own, which is cut
-    again by the tie column, so equal values do not pile up in one task.
+    Null values are dropped. Values and ties are compared as they are: any type that has an order will
+    do. The rows lie in ranges of (group, value, tie), so neither a hot group nor a hot value fills a task.
     """
     group = group or []
-    sign = F.lit(-1.0 if descending else 1.0)
-    src = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double") * sign)
-    pts = split_points(src.withColumn("_t", F.col(tie).cast("double")), ["_v", "_t"], n_chunks)
-    bucket = interval_index(F.col("_v"), pts["_v"])
-    src = src.withColumn("_b", bucket).withColumn(
-        "_s", F.when(F.col("_b") % 2 == 1, interval_index(F.col(tie).cast("double"), pts["_t"])).otherwise(0)
-    )
-    chunk = [*group, "_b", "_s"]
-    totals = src.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*group).orderBy("_b", "_s").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*group)
-    offsets = totals.select(
-        *chunk,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        F.sum("_n").over(whole).alias(out_n),
-    )
+    v = F.col(value)
+    rows, parts = placed(df.where(v.isNotNull()), [*[F.col(g) for g in group], v.desc() if descending else v.asc(), F.col(tie).asc()])
+    # one row per partition of the sort
+    rows = rows.join(F.broadcast(parts), "_pid").withColumn("_g", F.col("_off") + F.col("_idx")).drop("_pid", "_off", "_idx")
     if not group:
-        # at most (2*n_chunks)^2 rows by construction
-        offsets = F.broadcast(offsets)
-    inside = W.partitionBy(*chunk).orderBy("_v", tie)
-    return (
-        src.join(offsets, chunk)
-        .withColumn(out, F.col("_off") + F.row_number().over(inside))
-        .drop("_v", "_b", "_s", "_off")
-    )
+        total = rows.agg(F.count(F.lit(1)).alias(out_n))
+        return rows.withColumn(out, F.col("_g") + 1).drop("_g").join(F.broadcast(total))
+    starts = cut(rows.groupBy(*group).agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias(out_n)))
+    return rows.join(starts, group).withColumn(out, F.col("_g") - F.col("_first") + 1).drop("_g", "_first")
 
 
-def running_total(df: DataFrame, value: str, weight: str, out: str, n_chunks: int = 64) -> DataFrame:
+def running_total(df: DataFrame, value: str, weight: str, out: str) -> DataFrame:
     """Running sum of ``weight`` in the order of distinct ``value`` over the whole table, two-pass."""
-    pts = split_points(df, [value], n_chunks)
-    src = df.withColumn("_b", interval_index(F.col(value).cast("double"), pts[value]))
-    totals = src.groupBy("_b").agg(F.sum(weight).alias("_w"))
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = F.broadcast(totals.select("_b", F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_off")))
-    inside = W.partitionBy("_b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return src.join(offsets, "_b").withColumn(out, F.col("_off") + F.sum(weight).over(inside)).drop("_b", "_off")
+    rows, _ = placed(df, [F.col(value)])
+    totals = rows.groupBy("_pid").agg(F.sum(weight).alias("_w"))
+    before = W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    offsets = F.broadcast(totals.select("_pid", F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_off")))
+    inside = W.partitionBy("_pid").orderBy("_idx").rowsBetween(W.unboundedPreceding, 0)
+    return rows.join(offsets, "_pid").withColumn(out, F.col("_off") + F.sum(weight).over(inside)).drop("_pid", "_idx", "_off")
 
 
 def chunk_previous(df: DataFrame, group: list[str], chunk: str, order: list[str], columns: dict[str, str]) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hydrospark.functions import erosion as E
 
 
+def exact_sum(c: Column) -> Column:
+    """Sum that does not depend on the order of rows: added up as decimals of nine digits."""
+    return F.sum(c.cast("decimal(28,9)")).cast("double")
+
+
 def horizon_kffact(horizon: DataFrame) -> DataFrame:
     """Erodibility where absent, from silt and clay shares."""
     return horizon.withColumn("kffact", F.coalesce("kffact", (F.col("silt") * 0.3 + F.col("clay") * 0.2) / 100))
@@ -22,7 +27,7 @@ def soil_by_mapunit(joined: DataFrame) -> DataFrame:
     w = F.col("comppct")
 
     def mean(v: str):
-        return F.try_divide(F.sum(F.col(v) * w), F.sum(F.when(F.col(v).isNotNull(), w))).alias(v)
+        return F.try_divide(exact_sum(F.col(v) * w), exact_sum(F.when(F.col(v).isNotNull(), w))).alias(v)
 
     stats = joined.groupBy("mukey").agg(mean("kffact"), mean("clay"), mean("sand"))
     n = joined.where("texdesc IS NOT NULL").groupBy("mukey", "texdesc").agg(F.count(F.lit(1)).alias("n"))
@@ -47,12 +52,13 @@ def monthly_climate(climate: DataFrame, point: str = "point") -> DataFrame:
     """Monthly rain moments, wet-day shares and mean temperatures and radiation per point."""
     p = F.col("prcp")
     n = F.count(p)
+    mean = lambda c: F.try_divide(exact_sum(F.col(c)), F.count(c))
     skew = F.when(n > 2, F.skewness(p) * F.sqrt(n * (n - 1.0)) / (n - 2))
     m = climate.groupBy(point, F.month("d").alias("month")).agg(
-        F.avg(p).alias("prcp_mean"), F.coalesce(F.stddev_samp(p), F.lit(0.1)).alias("prcp_sd"),
+        mean("prcp").alias("prcp_mean"), F.coalesce(F.stddev_samp(p), F.lit(0.1)).alias("prcp_sd"),
         F.coalesce(skew, F.lit(0.0)).alias("prcp_skew"),
         F.coalesce(F.avg(F.when(p > 0, 1.0).otherwise(0.0)), F.lit(0.1)).alias("p_wet_dry"),
-        F.avg("tmax").alias("tmax_mean"), F.avg("tmin").alias("tmin_mean"), (F.avg("srad") * 2.064).alias("sol_rad"),
+        mean("tmax").alias("tmax_mean"), mean("tmin").alias("tmin_mean"), (mean("srad") * 2.064).alias("sol_rad"),
     )
     return m.withColumn("p_wet_wet", F.least(F.lit(1.0), F.col("p_wet_dry") * 1.5))
 

@@ -178,29 +178,46 @@ def nearest_within(points: DataFrame, targets: DataFrame, distance: float, key:
     return points.join(best, ["x", "y"]).select(key, f"_b.{target_key}", "_b.tx", "_b.ty", F.col("_b._d").alias("distance_m"))
 
 
-def nearest_any(points: DataFrame, targets: DataFrame, start: float, key: str = "point_id", target_key: str = "target_id", max_rounds: int = 40) -> DataFrame:
-    """Nearest target at any distance: the search distance doubles for the points still without one."""
-    left, d, parts = cut(points.select(key, "x", "y")), start, []
+def nearest_any(points: DataFrame, targets: DataFrame, start: float, key: str = "point_id", target_key: str = "target_id", max_rounds: int = 60) -> DataFrame:
+    """Nearest target at any distance, one row per point: the search distance doubles for the points still without one.
+
+    Without any target with a place, and for points without a place, the target is null.
+    """
+    t = targets.where("x IS NOT NULL AND y IS NOT NULL")
+    empty = [F.lit(None).cast(f.dataType).alias(n) for n, f in ((target_key, targets.schema[target_key]), ("tx", targets.schema["x"]), ("ty", targets.schema["y"]))]
+    lost = lambda rows: rows.select(key, *empty, F.lit(None).cast("double").alias("distance_m"))
+    if t.isEmpty():
+        return lost(points)
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    left, d, parts = cut(points.where(placed).select(key, "x", "y")), start, [lost(points.where(~placed))]
     for _ in range(max_rounds):
-        hit = cut(nearest_within(left, targets, d, key, target_key))
-        parts.append(hit)
-        left = cut(left.join(hit.select(key), key, "left_anti"))
         if left.isEmpty():
             break
+        hit = cut(nearest_within(left, t, d, key, target_key))
+        parts.append(hit)
+        left = cut(left.join(hit.select(key), key, "left_anti"))
         d *= 2
+    else:
+        raise RuntimeError(f"points without a nearest target after {max_rounds} doublings of {start}")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def replace_from_nearest(gauges: DataFrame, crossings: DataFrame, distance: float, attributes: list[str], key: str = "gauge_id") -> DataFrame:
-    """Gauges take place and attributes of the nearest crossing within the distance; own values win where set."""
-    near = nearest_within(gauges, crossings, distance, key, "point_id").drop("distance_m")
-    src = crossings.select("point_id", *[F.col(a).alias(f"_x_{a}") for a in attributes])
-    j = gauges.join(near, key, "left").join(src, "point_id", "left")
-    new = {a: F.coalesce(F.col(a), F.col(f"_x_{a}")) if a in gauges.columns else F.col(f"_x_{a}") for a in attributes}
-    return j.withColumns({**new, "x": F.coalesce("tx", "x"), "y": F.coalesce("ty", "y")}).drop("tx", "ty", *[f"_x_{a}" for a in attributes])
+def replace_from_nearest(crossings: DataFrame, gauges: DataFrame, distance: float, attributes: list[str], key: str = "gauge_id") -> DataFrame:
+    """All crossings; the one nearest to a gauge within the distance takes the gauge's place and attributes.
+
+    Adds the gauge's ``key`` (null elsewhere). Of several gauges nearest to one crossing the closest counts,
+    then the lowest key. Attributes the gauge does not have a value for are taken over as they are: null.
+    """
+    near = nearest_within(gauges, crossings, distance, key, "point_id").select(key, "point_id", "distance_m")
+    one = near.groupBy("point_id").agg(F.min_by(key, F.struct("distance_m", key)).alias(key))
+    src = gauges.select(key, F.col("x").alias("_gx"), F.col("y").alias("_gy"), *[F.col(a).alias(f"_g_{a}") for a in attributes])
+    j = crossings.drop(key).join(one, "point_id", "left").join(src, key, "left")
+    has = F.col(key).isNotNull()
+    new = {a: F.when(has, F.col(f"_g_{a}")).otherwise(F.col(a)) if a in crossings.columns else F.col(f"_g_{a}") for a in attributes}
+    return j.withColumns({**new, "x": F.coalesce("_gx", "x"), "y": F.coalesce("_gy", "y")}).drop("_gx", "_gy", *[f"_g_{a}" for a in attributes])
 
 
 def line_crossings(roads: DataFrame, streams: DataFrame, tile: float = 100.0, digits: int = 3) -> DataFrame:

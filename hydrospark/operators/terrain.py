@@ -366,6 +366,8 @@ def fill_depressions(cells: DataFrame, z: str, grid: Grid, out: str = "z_fill")
             .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "h").where("a <> b")
             .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("h").alias("h"))
         )
+    else:
+        raise RuntimeError(f"basins not joined after {MAX_ROUNDS} rounds")
     lifted = base.join(level.select("basin", "level"), "basin", "left").select("cell", "level")
     return cells.withColumn("cell", cell_id("r", "c")).join(lifted, "cell", "left").withColumn(
         out, F.when(F.col(z).isNotNull(), F.greatest(F.col(z), F.col("level")))

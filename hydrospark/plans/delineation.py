@@ -44,8 +44,8 @@ def delineate(cells: DataFrame, grid: Grid, roads: DataFrame, points: DataFrame
     """Tables 'points', 'watersheds' (kept), 'flagged', 'labels', 'closure', 'flow'.
 
     ``points`` given: snapped to roads, then to road-stream crossings. None given: the crossings are
-    the points, found on the plain terrain and used on the enforced one. ``gauges``: stations take
-    the nearest crossing.
+    the points, found on the plain terrain and used on the enforced one. ``gauges``: the crossing
+    nearest to a station takes its place; all other crossings stay points.
     """
     road_cells = cells.select("r", "c", z)
     width = F.lit(2 * half_road_m).alias("road_width_m")
@@ -62,8 +62,7 @@ def delineate(cells: DataFrame, grid: Grid, roads: DataFrame, points: DataFrame
     _, flow, acc = drainage(terrain, grid, z)
     crossings = cut(as_points(S.line_crossings(roads, stream_lines(flow, acc, grid, threshold), 16 * abs(grid.dx))))
     if gauges is not None:
-        taken = S.replace_from_nearest(gauges, crossings, snap_m, [], "gauge_id").where(F.col("point_id").isNotNull())
-        pts = taken.select(F.col("gauge_id").alias("point_id"), "x", "y")
+        pts = S.replace_from_nearest(crossings, gauges, snap_m, [], "gauge_id")
     elif points is not None:
         near = S.nearest_within(on_road, crossings.withColumnRenamed("point_id", "target_id"), snap_m)
         pts = near.select("point_id", F.col("tx").alias("x"), F.col("ty").alias("y"))
@@ -71,16 +70,21 @@ def delineate(cells: DataFrame, grid: Grid, roads: DataFrame, points: DataFrame
         pts = crossings
     on_grid = cut(pts.select("point_id", grid.row("y").alias("r"), grid.col("x").alias("c")))
     k = max(1, int(snap_m // abs(grid.dx)))
-    pour = cut(T.snap_to_max_accum(on_grid, acc, k)).withColumn("cell", T.cell_id("r", "c"))
-    pour = cut(pour.groupBy("cell").agg(F.min("point_id").alias("point_id"), F.first("acc").alias("acc")))
+    snapped = cut(T.snap_to_max_accum(on_grid, acc, k).withColumn("cell", T.cell_id("r", "c")).select("point_id", "cell", "acc"))
+    # points that drain through one cell share its watershed; each has a row of its own in the end
+    pour = cut(snapped.groupBy("cell").agg(F.min("point_id").alias("point_id"), F.first("acc").alias("acc")))
     out = nested_watersheds(terrain, grid, flow, acc, pour, z)
-    watersheds = out["watersheds"].where(F.col("area_ha") >= min_area_ha)
+    per_point = out["watersheds"].drop("point_id").join(snapped.select("point_id", "cell"), "cell").select(*out["watersheds"].columns)
+    watersheds = per_point.where(F.col("area_ha") >= min_area_ha)
     if boundary_cells is not None:
         flagged = outside(out["labels"], out["closure"], boundary_cells, grid)
         out["flagged"] = watersheds.join(flagged, "cell", "left_semi")
         watersheds = watersheds.join(flagged, "cell", "left_anti")
     out["watersheds"] = watersheds
-    out["points"] = pour.join(watersheds.select("cell"), "cell", "left_semi")
+    points_kept = snapped.join(watersheds.select("cell").distinct(), "cell", "left_semi")
+    if gauges is not None:
+        points_kept = points_kept.join(pts.select("point_id", "gauge_id"), "point_id", "left")
+    out["points"] = points_kept
     out["flow"] = flow
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def category_counts(zones: DataFrame, category: str = "category") -> DataFrame:
@@ -25,14 +25,32 @@ def crossing_counts(crossings: DataFrame) -> DataFrame:
     ).withColumn("culverts", F.col("crossings") - F.col("bridges"))
 
 
-def vulnerable_share(flags: DataFrame, by: list[str]) -> DataFrame:
-    """Vulnerable culverts and percent per method at the largest return period; bridges are left out."""
-    top = flags.agg(F.max("return_period").alias("return_period"))
-    rows = flags.join(F.broadcast(top), "return_period").where(F.col("pour_sha") != "Bridge")
-    return rows.groupBy(*by, "return_period").agg(
+def period_years(period: str = "return_period") -> Column:
+    """The number in a return period such as 100, '100' or '100yr'; null for an event."""
+    return F.regexp_extract(F.col(period).cast("string"), r"^([0-9]+)", 1).try_cast("int")
+
+
+def vulnerable_share(flags: DataFrame, by: list[str], crossings: DataFrame | None = None) -> DataFrame:
+    """Vulnerable culverts and percent per method at the largest return period; bridges are left out.
+
+    With ``crossings``, the inventory: its rows tell which points are bridges, and all its other points
+    are what the percentage refers to; else the points of ``flags`` are. Points without a shape count as
+    culverts. Estimates of an event are used where a method has no return period.
+    """
+    if crossings is None:
+        rows, size = flags.where(~F.coalesce(F.col("pour_sha") == "Bridge", F.lit(False))), None
+    else:
+        own = crossings.where(~F.coalesce(F.col("pour_sha") == "Bridge", F.lit(False))).select("point_id").distinct()
+        rows, size = flags.join(own, "point_id", "left_semi"), own.agg(F.count(F.lit(1)).alias("_inventory"))
+    per = rows.groupBy(*by, "return_period").agg(
         F.countDistinct("point_id").alias("culverts"),
         F.count_if(F.coalesce(F.col("vuln") == "Vulnerable", F.lit(False))).alias("vulnerable"),
-    ).withColumn("vulnerable_pct", F.try_divide(F.col("vulnerable") * 100.0, F.col("culverts")))
+    ).withColumn("_years", period_years())
+    # one row per method and period from here on
+    top = per.withColumn("_top", F.max("_years").over(W.partitionBy())).where(F.col("_top").isNull() | (F.col("_years") == F.col("_top"))).drop("_years", "_top")
+    if size is not None:
+        top = top.join(F.broadcast(size)).withColumn("culverts", F.col("_inventory")).drop("_inventory")
+    return top.withColumn("vulnerable_pct", F.try_divide(F.col("vulnerable") * 100.0, F.col("culverts")))
 
 
 def vulnerability_summary(flags: DataFrame, crossings: DataFrame, scores: dict[str, DataFrame], by: list[str]) -> DataFrame:
@@ -42,7 +60,7 @@ def vulnerability_summary(flags: DataFrame, crossings: DataFrame, scores: dict[s
             F.lit("crossings"), F.col("crossings"), F.lit("culverts"), F.col("culverts"), F.lit("bridges"), F.col("bridges")
         )).alias("item", "value")
     ).select(F.lit("inventory").alias("section"), "item", "value", F.lit(None).cast("double").alias("pct"))
-    v = vulnerable_share(flags, by).select(
+    v = vulnerable_share(flags, by, crossings).select(
         F.lit("hydrologic").alias("section"), F.concat_ws("/", *by).alias("item"),
         F.col("vulnerable").alias("value"), F.col("vulnerable_pct").alias("pct"),
     )

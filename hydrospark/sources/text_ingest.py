@@ -34,9 +34,9 @@ def frequency_tables(lines: DataFrame) -> DataFrame:
         hit = F.col("line_no").between(a, b)
         bound = F.when(hit, name) if bound is None else bound.when(hit, name)
     parts = F.split(F.col("line"), ":", 2)
-    body = used.withColumn("bound", bound).where("bound IS NOT NULL").select(
+    body = used.withColumn("bound", bound).where("bound IS NOT NULL").withColumn("_values", F.split(F.trim(parts[1]), ",")).select(
         "file", "bound", F.trim(parts[0]).alias("duration"),
-        F.posexplode(F.slice(F.split(F.trim(parts[1]), ","), 2, 100)).alias("k", "_v"),
+        F.posexplode(F.expr("slice(_values, 2, size(_values))")).alias("k", "_v"),
     )
     v = F.trim("_v").try_cast("double")
     return body.join(head, ["file", "k"]).select(
