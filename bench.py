@@ -13,6 +13,7 @@ HEADLINE = [
     "vulnerable_share", "c3", "q_gpdm", "annual_max", "station_runoff_c", "mann_kendall", "gev_lmoments", "slope_gradient", "zonal_terrain",
     "zonal_cn", "softmax_bins", "rank_score", "soil_loss", "c8", "weighted_overlay_15", "c10", "j8", "j12", "j13", "j18", "mask_cells",
     "d8_pointer", "flow_accumulation", "watershed_cells", "soil_by_mapunit", "monthly_climate", "watershed_budget",
+    "c1", "c2", "c6", "fill_depressions", "connected_parts", "hillslopes", "roi_homogeneous", "growth_curve", "gev_mle",
 ]
 
 

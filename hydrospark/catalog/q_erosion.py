@@ -8,6 +8,7 @@ from hydrospark.catalog.q_spatial import SEGC, small_roads
 from hydrospark.functions import erosion as E
 from hydrospark.operators import binning as B, rollup as U, spatial as S
 from hydrospark.plans import indices as I, soil_loss as L
+from hydrospark.session import cut
 
 # accumulation stand-in: cells above in the same column
 RF = "(CASE WHEN pi30_milli_in * 0.0508e0 <= 76 THEN 0.119e0 + 0.0873e0 * log10(pi30_milli_in * 0.0508e0) ELSE 0.283e0 END * (pi30_milli_in * 0.0508e0))"
@@ -47,7 +48,7 @@ def c_factor(q):
 
 @query("soil_loss", "cells", f"{FAC} SELECT r, c, round(a, 6) AS soil_loss FROM lo")
 def soil_loss(q):
-    f = factors(q)
+    f = cut(factors(q))
     layers = {f"{k}_factor": f.select("r", "c", F.col(f"{k}_factor").alias("v")) for k in ("r", "k", "ls", "c")}
     return L.soil_loss_cells(L.join_layers(layers)).select("r", "c", r6("soil_loss"))
 
@@ -76,7 +77,7 @@ def overlay_sql(names):
 
 def layers(q, names):
     wide = q.cells.select("r", "c", *[F.expr(e).alias(n) for n, e in zip(names, layer_exprs(len(names)))])
-    return I.to_long(wide, names)
+    return wide
 
 
 @query("weighted_overlay_10", "cells roads", f"{overlay_sql(I.STREAMBANK_LAYERS)}, {SEGC} SELECT ov.r, ov.c, round(s, 6) AS score_sum FROM ov JOIN nc ON nc.r = ov.r AND nc.c = ov.c AND nc.d <= 20 WHERE ok")

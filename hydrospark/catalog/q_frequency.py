@@ -130,10 +130,10 @@ ROI = f"""{SD}, gg AS (SELECT * FROM fx_descriptors WHERE gws_id IN (SELECT site
 dd AS (SELECT u.point_id AS site, g.point_id AS donor, round(sqrt({' + '.join(f'pow((u.{d} - g.{d}) / s{i}, 2)' for i, d in enumerate(DESC))}), 9) AS distance FROM fx_descriptors u, gg g, sd WHERE u.point_id NOT IN (SELECT point_id FROM gg))"""
 
 
-@query("roi_distance", "descriptors series", f"{ROI} SELECT site, row_number() OVER (PARTITION BY site ORDER BY distance, donor)::INTEGER AS rank, donor FROM dd")
+@query("roi_distance", "descriptors series", f"{ROI} SELECT site, row_number() OVER (PARTITION BY site ORDER BY distance, donor)::INTEGER AS rank, donor FROM dd QUALIFY rank <= 20")
 def roi(q):
     gauged, ungauged = R.split_gauged(q.descriptors, q.series.select("site"))
-    return R.roi_distance(ungauged, gauged, DESC).select("site", "rank", "donor")
+    return R.roi_distance(ungauged, gauged, DESC, 20).select("site", "rank", "donor")
 
 
 @query("region_pattern", "descriptors", """p AS (SELECT point_id, point_id % 3 AS a, 10 + point_id % 5 AS b FROM fx_descriptors), t AS (SELECT point_id, a || '-' || b AS pattern FROM p), f AS (SELECT pattern, row_number() OVER (ORDER BY min(point_id)) AS k FROM t GROUP BY 1)

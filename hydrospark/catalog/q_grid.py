@@ -137,14 +137,14 @@ def cn_cells(q):
     return L.join_curve_number(q.cells, L.curve_number_table(cn_wide(q), "classes"))
 
 
-@query("j24", "cells", """co AS (SELECT r, c, round(100 - r * 0.5e0 + c, 4) AS v FROM fx_cells WHERE c < 40 AND (r * 7 + c) % 11 <> 0),
+@query("j24", "cells", """co AS (SELECT r, c, round(100 - r * 0.5e0 + c, 4) AS v FROM fx_cells WHERE (r * 7 + c) % 11 <> 0),
 t AS (SELECT r, c, ((c + 0.5e0) * 10 - 5) / 40 - 0.5e0 AS fx, ((r + 0.5e0) * 10 - 5) / 40 - 0.5e0 AS fy FROM fx_cells),
 k AS (SELECT *, floor(fx) AS c0, floor(fy) AS r0 FROM t), o AS (SELECT 0 AS i, 0 AS j UNION ALL SELECT 0, 1 UNION ALL SELECT 1, 0 UNION ALL SELECT 1, 1),
 w AS (SELECT k.r, k.c, (CASE WHEN i = 1 THEN fy - r0 ELSE 1 - (fy - r0) END) * (CASE WHEN j = 1 THEN fx - c0 ELSE 1 - (fx - c0) END) AS wt, co.v FROM k, o JOIN co ON co.r = r0 + i AND co.c = c0 + j),
 b AS (SELECT r, c, sum(wt * v) / sum(wt) AS v FROM w WHERE wt > 0 GROUP BY 1, 2)
 SELECT t.r, t.c, co.v AS nearest, round(b.v, 6) AS bilinear FROM t LEFT JOIN co ON co.r = floor(((t.r + 0.5e0) * 10 - 5) / 40) AND co.c = floor(((t.c + 0.5e0) * 10 - 5) / 40) LEFT JOIN b ON b.r = t.r AND b.c = t.c""")
 def j24(q):
-    src = q.cells.where("c < 40 AND (r * 7 + c) % 11 <> 0").select("r", "c", F.round(100 - F.col("r") * 0.5 + F.col("c"), 4).alias("v"))
+    src = q.cells.where("(r * 7 + c) % 11 <> 0").select("r", "c", F.round(100 - F.col("r") * 0.5 + F.col("c"), 4).alias("v"))
     t = q.cells.select("r", "c")
     near = G.align_nearest(t, GRID, src, COARSE, "v").withColumnRenamed("v", "nearest")
     return G.align_bilinear(near, GRID, src, COARSE, "v").select("r", "c", "nearest", r6("v", "bilinear"))

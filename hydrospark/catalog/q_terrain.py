@@ -139,11 +139,10 @@ def j23(q):
 @query("incremental_area", "cells", f"""{LABEL}, tot AS (SELECT c.ancestor AS zone, count(*) AS n FROM label l JOIN clo c ON c.node = l.label GROUP BY 1), inc AS (SELECT label AS zone, count(*) AS n FROM label GROUP BY 1)
 SELECT t.zone, round(t.n * 0.0001e0, 6) AS total_km2, round(i.n * 0.0001e0, 6) AS incremental_km2, round(i.n * 100.0e0 / t.n, 6) AS incremental_pct FROM tot t JOIN inc i ON i.zone = t.zone""")
 def incremental(q):
-    from hydrospark.operators.nesting import incremental_area
+    from hydrospark.operators.nesting import incremental_from_labels
     f, p, labels = basins(q)
-    tree = T.pour_tree(f, p, labels)
-    zc = T.cut(T.nested_membership(labels, T.ancestor_closure(tree)))
-    return incremental_area(zc, tree, GRID.cell_area).select("zone", r6("total_km2"), r6("incremental_km2"), r6("incremental_pct"))
+    closure = T.ancestor_closure(T.pour_tree(f, p, labels))
+    return incremental_from_labels(labels, closure, GRID.cell_area).select("zone", r6("total_km2"), r6("incremental_km2"), r6("incremental_pct"))
 
 
 @query("connected_parts", "cells", """w AS MATERIALIZED (SELECT r, c, r::BIGINT * 4294967296 + c AS cell, nlcd FROM fx_cells), ed AS MATERIALIZED (SELECT a.cell AS a, b.cell AS b FROM w a JOIN w b ON a.nlcd = b.nlcd AND ((b.r = a.r AND b.c IN (a.c - 1, a.c + 1)) OR (b.c = a.c AND b.r IN (a.r - 1, a.r + 1)))),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from hydrospark.operators.terrain import ancestor_closure
+from hydrospark.operators.terrain import ancestor_closure, rollup_nested
 
 
 def containment(zone_cells: DataFrame, min_share: float = 0.95) -> DataFrame:
@@ -50,6 +50,16 @@ def nesting_levels(tree: DataFrame) -> DataFrame:
     )
 
 
+def incremental_from_labels(labels: DataFrame, closure: DataFrame, cell_area_m2: float) -> DataFrame:
+    """Areas of nested watersheds from the incremental basin of each cell: no cell is repeated per watershed above it."""
+    own = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_i"))
+    total = rollup_nested(own.withColumnRenamed("_i", "_n"), closure, ["_n"])
+    km2 = cell_area_m2 / 1_000_000.0
+    return total.join(own.withColumnRenamed("label", "zone"), "zone").select(
+        "zone", (F.col("_n") * km2).alias("total_km2"), (F.col("_i") * km2).alias("incremental_km2"), (F.col("_i") * 100.0 / F.col("_n")).alias("incremental_pct"),
+    )
+
+
 def incremental_area(zone_cells: DataFrame, tree: DataFrame, cell_area_m2: float) -> DataFrame:
     """Area of each zone without its direct children. ``zone_cells`` is (zone, cell).
 

@@ -18,13 +18,13 @@ def split_gauged(sites: DataFrame, stations: DataFrame) -> tuple[DataFrame, Data
     return gauged, sites.join(gauged.select("point_id"), "point_id", "left_anti")
 
 
-def roi_distance(targets: DataFrame, gauged: DataFrame, descriptors: list[str], k: int | None = None) -> DataFrame:
+def roi_distance(targets: DataFrame, gauged: DataFrame, descriptors: list[str], k: int, salts: int = 16) -> DataFrame:
     """(site, rank, donor, distance): donors by Euclidean distance over standardised descriptors.
 
     Descriptors are scaled by their standard deviation over all sites. Gauged sites travel as
-    blocks of at most a few hundred in one array; each target meets a block once, keeps its nearest
-    ``k`` of the block inside the array, and the kept donors are ranked per target. Without ``k``
-    the whole order is the result, one row per target and donor.
+    blocks of about a few hundred in one array; each target meets a block once, keeps its nearest
+    ``k`` of the block inside the array, and the kept donors are ranked per target: at most ``k`` rows
+    each. Targets are dealt over ``salts`` copies of every block, so few blocks still fill many tasks.
     """
     both = targets.select("point_id", *descriptors).unionByName(gauged.select("point_id", *descriptors)).dropDuplicates(["point_id"])
     sd = both.agg(*[F.stddev_samp(d).alias(d) for d in descriptors]).first()
@@ -34,18 +34,18 @@ def roi_distance(targets: DataFrame, gauged: DataFrame, descriptors: list[str],
     block = F.pmod(F.xxhash64("point_id"), F.lit(n_blocks)).cast("int")
     blocks = gauged.select(F.col("point_id").alias("donor"), vec.alias("dv"), block.alias("block")).groupBy("block").agg(
         F.collect_list(F.struct("donor", "dv")).alias("donors")
-    )
-    t = targets.select(F.col("point_id").alias("site"), vec.alias("tv"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64("point_id"), F.lit(salts)).cast("int")
+    t = targets.select(F.col("point_id").alias("site"), vec.alias("tv"), salt.alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
     def dist(s):
         return F.sqrt(F.aggregate(
             F.zip_with(F.col("tv"), s["dv"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v
         ))
     near = F.array_sort(F.transform("donors", lambda s: F.struct(F.round(dist(s), 9).alias("distance"), s["donor"].alias("donor"))))
-    near = F.slice(near, 1, k) if k else near
-    rows = t.join(blocks, "block").select("site", F.inline(near))
+    rows = t.join(blocks, ["block", "salt"]).select("site", F.inline(F.slice(near, 1, k)))
     order = W.partitionBy("site").orderBy("distance", "donor")
     out = rows.withColumn("rank", F.row_number().over(order))
-    return (out.where(F.col("rank") <= k) if k else out).select("site", "rank", "donor", "distance")
+    return out.where(F.col("rank") <= k).select("site", "rank", "donor", "distance")
 
 
 def homogeneous_pools(targets: DataFrame, gauged: DataFrame, descriptors: list[str], series: DataFrame, limit: float = 0.95,

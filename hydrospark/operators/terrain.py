@@ -386,17 +386,16 @@ def flat_steps(cells: DataFrame, z: str, out: str = "flat_steps") -> DataFrame:
     state = cut(n.where(F.col(z).isNotNull()).select(
         cell_id("r", "c").alias("cell"), drains.alias("_ok"), F.array_compact(F.array(*equal)).alias("_eq")
     ))
-    # only flats and the cells beside them take part in the rounds
+    # only flats and the cells beside them take part in the rounds, and a round writes its front alone:
+    # neighbours of a front lie in it, in the one before, or in the next
     links = cut(state.where(~F.col("_ok")).select("cell", F.explode("_eq").alias("near")))
-    steps = state.where("_ok OR size(_eq) > 0").select("cell", F.when(F.col("_ok"), F.lit(0)).alias(out))
-    steps, k = cut(steps), 0
+    front = cut(state.where("_ok").select("cell").join(links.select(F.col("near").alias("cell")).distinct(), "cell", "left_semi"))
+    before, k = front.limit(0), 0
+    steps = state.where("_ok").select("cell", F.lit(0).alias(out))
     while True:
-        front = steps.where(F.col(out) == k).select(F.col("cell").alias("near"))
-        reached = links.join(front, "near", "left_semi").select("cell").distinct().withColumn("_hit", F.lit(True))
-        k += 1
-        steps = cut(steps.join(reached, "cell", "left").select(
-            "cell", F.coalesce(out, F.when(F.col("_hit"), F.lit(k))).alias(out)
-        ))
-        if steps.where(F.col(out) == k).isEmpty():
+        reached = links.join(front.select(F.col("cell").alias("near")), "near", "left_semi").select("cell").distinct()
+        front, before, k = cut(reached.join(front, "cell", "left_anti").join(before, "cell", "left_anti")), front, k + 1
+        if front.isEmpty():
             break
+        steps = steps.unionByName(front.select("cell", F.lit(k).alias(out)))
     return cells.withColumn("cell", cell_id("r", "c")).join(steps, "cell", "left").drop("cell")

@@ -108,10 +108,10 @@ def nested_watersheds(cells: DataFrame, grid: Grid, flow: DataFrame, acc: DataFr
     inner = F.lit(True)
     for side in "ewns":
         inner = inner & F.coalesce(F.col(f"label_{side}") == F.col("label"), F.lit(False))
-    rim = edge.where(~inner).select("label", "r", "c")
+    # the farthest cell from any place is a corner of the hull, so it is the first or last of its row
+    rim = edge.where(~inner).groupBy("label", "r").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).select("label", "r", F.explode(F.array("lo", "hi")).alias("c"))
     up = closure.select(F.col("node").alias("label"), F.col("ancestor").alias("zone"))
     far = F.hypot((F.col("r") - T.cell_row(F.col("zone"))) * grid.dy, (F.col("c") - T.cell_col(F.col("zone"))) * grid.dx)
-    # a straight-line bound per label keeps the rim small: only the farthest rim cell per (label, zone) matters
     over = rim.join(up, "label").groupBy("zone").agg(F.max(far).alias("ov_len_m"))
     levels = N.nesting_levels(tree)
     m2 = grid.cell_area

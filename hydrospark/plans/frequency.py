@@ -62,7 +62,8 @@ def pooled(stats: DataFrame, watersheds: DataFrame, rps: list[float], n_boot: in
     params = Q.weighted_params(stats, []).withColumn("region", F.lit("pool"))
     curve = Q.growth_curve(params, rps, "region", n_boot, sig=sig)
     sites = watersheds.select("point_id", "area_ha").withColumns({"region": F.lit("pool"), "index_value": Q.index_pooled(stats)})
-    return Q.growth_scale(sites, curve)
+    # one region: as many rows as return periods
+    return Q.growth_scale(sites, F.broadcast(curve))
 
 
 def rain_curve(stats: DataFrame, watersheds: DataFrame, rps: list[float], n_boot: int = 501, sig: float = 0.05) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from hydrospark.functions import classes as K
-from hydrospark.operators.binning import linear_scale, rank_score, right_closed_bins, softmax_bins
-from hydrospark.operators.grid import mosaic, on_template
+from hydrospark.operators.binning import rank_score
 from hydrospark.operators.zonal import zonal_sum
 
 # Layer names of the two indices.
@@ -35,9 +34,17 @@ def soil_layers(template: DataFrame, soil: DataFrame, variables: list[str]) -> D
 
 
 def weighted_overlay(layers: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Sum of weight x value over the layers a cell has; ``layers`` is (layer, r, c, v)."""
+    """Sum of weight x value over the layers a cell has.
+
+    ``layers`` is wide, (r, c, one column per layer), and summed in a projection; layers that arrive
+    apart may be long, (layer, r, c, v), and cost a shuffle.
+    """
     if any(w < 0 for w in weights.values()):
         raise ValueError("layer weights must not be negative")
+    if "layer" not in layers.columns:
+        used = [F.col(f"`{n}`").cast("double") for n in weights if n in layers.columns]
+        parts = [F.coalesce(c * float(weights[n]), F.lit(0.0)) for c, n in zip(used, [n for n in weights if n in layers.columns])]
+        return layers.where(F.coalesce(*used).isNotNull()).select("r", "c", sum(parts[1:], parts[0]).alias("score_sum"))
     from hydrospark.functions.hydraulics import lookup
     w = lookup(F.col("layer"), {k: float(v) for k, v in weights.items()})
     return layers.where(F.col("layer").isin(list(weights)) & F.col("v").isNotNull()).groupBy("r", "c").agg(
@@ -67,11 +74,6 @@ def debris_flow_index(layers: DataFrame, weights: dict[str, float], zone_cells:
     return zone_index(weighted_overlay(layers, weights), zone_cells, zones, False)
 
 
-def streambank_layers(base: DataFrame) -> DataFrame:
-    """Wide classed cells to the long layer table of the streambank index."""
-    return to_long(base, STREAMBANK_LAYERS)
-
-
 def to_long(base: DataFrame, names: list[str]) -> DataFrame:
     present = [n for n in names if n in base.columns]
     return base.select("r", "c", *[F.col(f"`{n}`").cast("double").alias(n) for n in present]).unpivot(
