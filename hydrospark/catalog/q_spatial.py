@@ -150,7 +150,20 @@ def stream_buffer(q):
     return S.intersection(S.near_line_cells(small_roads(q), GRID, 20.0), q.cells).select("r", "c", r6("distance_m"))
 
 
-@query("road_dem_adjust", "roads cells", f"{SEGC} SELECT x.r, x.c, round(x.z + CASE WHEN nc.d <= 8 THEN 5e0 ELSE 0e0 END, 6) AS z FROM fx_cells x LEFT JOIN nc ON nc.r = x.r AND nc.c = x.c")
+def _corner(i, j):
+    t = f"least(greatest(((x + {i} - x1) * dx + (y + {j} - y1) * dy) / (dx * dx + dy * dy), 0e0), 1e0)"
+    return f"sqrt(pow(x + {i} - x1 - {t} * dx, 2) + pow(y + {j} - y1 - {t} * dy, 2))"
+
+
+# parts of the line that lie within a cell: its parameter range clipped to the cell (slabs), empty if it passes by
+SLAB = """greatest(CASE WHEN dx = 0 THEN CASE WHEN abs(x1 - x) <= 5 THEN 0e0 ELSE 2e0 END ELSE least((x - 5 - x1) / dx, (x + 5 - x1) / dx) END,
+  CASE WHEN dy = 0 THEN CASE WHEN abs(y1 - y) <= 5 THEN 0e0 ELSE 2e0 END ELSE least((y - 5 - y1) / dy, (y + 5 - y1) / dy) END, 0e0)
+ <= least(CASE WHEN dx = 0 THEN 1e0 ELSE greatest((x - 5 - x1) / dx, (x + 5 - x1) / dx) END, CASE WHEN dy = 0 THEN 1e0 ELSE greatest((y - 5 - y1) / dy, (y + 5 - y1) / dy) END, 1e0)"""
+ENDS = [f"sqrt(pow(greatest(abs({a} - x) - 5, 0), 2) + pow(greatest(abs({b} - y) - 5, 0), 2))" for a, b in (("x1", "y1"), ("x1 + dx", "y1 + dy"))]
+TOUCHED = f"""{SEGC}, to_ AS (SELECT DISTINCT r, c FROM nc1 WHERE {SLAB} OR least({', '.join([_corner(i, j) for i in (-5, 5) for j in (-5, 5)] + ENDS)}) <= 8)"""
+
+
+@query("road_dem_adjust", "roads cells", f"{TOUCHED} SELECT x.r, x.c, round(x.z + CASE WHEN t.r IS NOT NULL THEN 5e0 ELSE 0e0 END, 6) AS z FROM fx_cells x LEFT JOIN to_ t ON t.r = x.r AND t.c = x.c")
 def road_adjust(q):
     return S.adjust_along_lines(q.cells, small_roads(q), GRID, "z", 5.0, 8.0).select("r", "c", r6("z"))
 

@@ -263,9 +263,38 @@ def near_line_cells(segments: DataFrame, grid: Grid, distance: float) -> DataFra
     return c.withColumn("_d", d).where(F.col("_d") <= distance).groupBy("r", "c").agg(F.min("_d").alias("distance_m"))
 
 
+def touched_cells(segments: DataFrame, grid: Grid, distance: float) -> DataFrame:
+    """(r, c): cells that the buffer of a line touches anywhere, so that a diagonal band has no gaps.
+
+    A cell is touched if the line passes through it, or one of its corners is within the distance of the
+    line, or an end of the line within the distance of the cell.
+    """
+    p = pieces(segments, max(4 * distance, 2 * abs(grid.dx)))
+    rows = F.sequence(grid.row(F.least("py1", "py2") - distance), grid.row(F.greatest("py1", "py2") + distance))
+    cols = F.sequence(grid.col(F.least("px1", "px2") - distance), grid.col(F.greatest("px1", "px2") + distance))
+    c = p.select("sx1", "sy1", "sx2", "sy2", F.explode(rows).alias("r"), cols.alias("_c"))
+    c = c.select("sx1", "sy1", "sx2", "sy2", "r", F.explode("_c").alias("c"))
+    x, y, hx, hy = grid.x("c"), grid.y("r"), abs(grid.dx) / 2, abs(grid.dy) / 2
+    near = []
+    for kx in (-hx, hx):
+        for ky in (-hy, hy):
+            fx, fy = _foot(x + kx, y + ky)
+            near.append(F.hypot(x + kx - fx, y + ky - fy))
+    for e in ("1", "2"):
+        near.append(F.hypot(F.greatest(F.abs(F.col(f"sx{e}") - x) - hx, F.lit(0.0)), F.greatest(F.abs(F.col(f"sy{e}") - y) - hy, F.lit(0.0))))
+    sx, sy = F.col("sx2") - F.col("sx1"), F.col("sy2") - F.col("sy1")
+    through = F.lit(False)
+    for k in (1, -1):  # a line that passes a rectangle without ending in it cuts a diagonal
+        ax, ay, bx, by = x - hx, y - k * hy, x + hx, y + k * hy
+        side = lambda qx, qy: sx * (qy - F.col("sy1")) - sy * (qx - F.col("sx1"))
+        of = lambda qx, qy: (bx - ax) * (qy - ay) - (by - ay) * (qx - ax)
+        through = through | ((side(ax, ay) * side(bx, by) <= 0) & (of(F.col("sx1"), F.col("sy1")) * of(F.col("sx2"), F.col("sy2")) <= 0))
+    return c.where(through | (F.least(*near) <= distance)).select("r", "c").distinct()
+
+
 def adjust_along_lines(cells: DataFrame, segments: DataFrame, grid: Grid, z: str, dy: float, buffer: float) -> DataFrame:
-    """Elevation changed by ``dy`` within the buffer of the lines; nodata stays."""
-    near = near_line_cells(segments, grid, buffer).select("r", "c", F.lit(True).alias("_near"))
+    """Elevation changed by ``dy`` in all cells that the buffer of the lines touches; nodata stays."""
+    near = touched_cells(segments, grid, buffer).withColumn("_near", F.lit(True))
     return cells.join(near, ["r", "c"], "left").withColumn(z, F.col(z) + F.when(F.col("_near"), F.lit(dy)).otherwise(0.0)).drop("_near")
 
 

@@ -6,6 +6,7 @@ import datetime
 import decimal
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -85,8 +86,9 @@ if __name__ == "__main__":
 
     sf = sys.argv[1]
     wanted = sys.argv[2:]
+    runs = tempfile.TemporaryDirectory(prefix="compare-")
     spark = get_spark(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-                                             "spark.driver.memory": "8g"})
+                                             "spark.driver.memory": "8g", "spark.checkpoint.dir": runs.name})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     oracles = E.oracle_sql()
