@@ -41,7 +41,8 @@ def repeated_windows(lines: DataFrame, least_words: int) -> DataFrame:
     least as many words is the union of such windows in it.
     """
     # a line that occurs once ends every run, so only the others are ranked
-    often = lines.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1")
+    # written first: over a plain table the join can split a line that stands everywhere
+    often = cut(lines.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"))
     rows = lines.join(often, "h1")
     # stretches of repeated lines; one with too few words can hold no window
     doc = W.partitionBy("rid").orderBy("s")
@@ -81,7 +82,7 @@ def repeated_windows(lines: DataFrame, least_words: int) -> DataFrame:
     keyed = windows.withColumn("s2", second).join(ranks.withColumnRenamed("r", "ra"), ["rid", "s", "k"]) \
         .join(ranks.select("rid", F.col("s").alias("s2"), "k", F.col("r").alias("rb")), ["rid", "s2", "k"])
     keyed = cut(keyed.select("rid", "s", "len", "ra", "rb", F.struct(F.col("id").isNull().alias("last"), "id", "rid", "s").alias("place")))
-    firsts = keyed.groupBy("len", "ra", "rb").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    firsts = cut(keyed.groupBy("len", "ra", "rb").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     return keyed.join(firsts, ["len", "ra", "rb"]).filter("place != first").select("rid", "s", "len")
 
 
