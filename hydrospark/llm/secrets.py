@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import re
 
 import numpy as np
@@ -88,18 +89,30 @@ class Tokens:
         self.counts = np.bincount(self.doc, minlength=len(texts))
         shape_of = shapes(list(distinct)) if words else np.zeros(0, np.int64)
         key_of = np.fromiter((w.lower().strip("._-=/+") in NEAR_WORDS for w in distinct), bool, len(distinct))
-        self.shape, key = shape_of[codes], key_of[codes]
-        n = len(codes)
-        self.near = np.zeros(n, np.int64)
-        for back in range(1, REACH + 1):
-            hit = np.zeros(n, bool)
-            hit[back:] = key[:-back] & (self.doc[back:] == self.doc[:-back])
-            self.near[(self.near == 0) & hit] = back
+        self.shape, self.key = shape_of[codes], key_of[codes]
+        self._near()
+        key = self.key
         # file features: does it have a near word, and how dense are digits-bearing tokens
         has_key = np.bincount(self.doc, key, len(texts)) > 0
         dense = np.bincount(self.doc, (self.shape & 1), len(texts)) / np.maximum(self.counts, 1)
         self.file = (has_key * 4 + np.searchsorted([0.001, 0.02, 0.2], dense))[self.doc]
 
+    def _near(self) -> None:
+        """Tokens since the last near word, 0 where it is out of reach."""
+        self.near = np.zeros(len(self.key), np.int64)
+        for back in range(1, REACH + 1):
+            hit = np.zeros(len(self.key), bool)
+            hit[back:] = self.key[:-back] & (self.doc[back:] == self.doc[:-back])
+            self.near[(self.near == 0) & hit] = back
+
+    def only(self, keep: np.ndarray) -> Tokens:
+        """The same texts without some of their tokens."""
+        part = copy.copy(self)
+        for name in ("doc", "start", "end", "shape", "key", "file"):
+            setattr(part, name, getattr(self, name)[keep])
+        part._near()
+        return part
+
     def features(self) -> np.ndarray:
         """(tokens, features) of weight row numbers; each feature has rows of its own."""
         n = len(self.shape)
@@ -183,15 +196,22 @@ def window_labels(text: str, context: int, negative_at: int | None) -> list[tupl
         y[inside] = INSIDE
         if len(inside):
             y[inside[0]] = BEGIN
-    x = tok.features()
+    out = cut_windows(tok, y, context, negative_at)
+    if (y == BEGIN).any():
+        # once more without quotes and signs, or the field would learn those rather than the secret and its word
+        words = (tok.shape % 64 & 0b000111) > 0
+        words |= y != OUTSIDE
+        out += cut_windows(tok.only(words), y[words], context, None)
+    return out
+
+
+def cut_windows(tok: Tokens, y: np.ndarray, context: int, negative_at: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
     marks = np.flatnonzero(y == BEGIN).tolist()
-    if not marks:
-        if negative_at is None:
-            return []
-        marks = [negative_at % n]
-    out, done = [], -1
+    if not marks and negative_at is not None:
+        marks = [negative_at % len(y)]
+    x, out, done = tok.features(), [], -1
     for m in marks:
-        a, b = max(m - context, 0), min(m + context, n)
+        a, b = max(m - context, 0), min(m + context, len(y))
         if a >= done:
             out.append((x[a:b], y[a:b]))
             done = b
@@ -202,7 +222,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = 12_000, context: int
     """Train the field on windows around base matches in a bounded hash sample of texts.
 
     About ``sample`` whole texts are looked at (all if there are fewer); every secret in them gives a
-    window of ``context`` tokens on either side, and one text in ``negative_every`` without a secret a
+    window of ``context`` tokens on either side, with and without signs, and one text in ``negative_every`` without a secret a
     window at a place set by its hash. Labels come from the base patterns alone. Without any base match
     in the sample the field keeps every token outside.
     """
