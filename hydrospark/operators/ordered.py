@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from hydrospark.session import cut
 
 
-def placed(df: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+def placed(df: DataFrame, order: list[Column], n_chunks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows sorted over all partitions, with ``_pid`` and ``_idx``, and per partition ``_off``: the rows before it.
 
-    One range repartition, written once, so that later reads agree on the places. The second table has
-    one row per partition.
+    One range repartition, written once, so that later reads agree on the places; into ``n_chunks`` ranges,
+    or as many as the session shuffles into. The second table has one row per partition.
     """
-    src = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    src = (df.repartitionByRange(n_chunks, *order) if n_chunks else df.repartitionByRange(*order)).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     rows = cut(src).withColumns({"_pid": F.shiftright("_id", 33), "_idx": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
     counts = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
@@ -26,7 +26,7 @@ def placed(df: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
 
 
 def ranked(df: DataFrame, value: str, tie: str, group: list[str] | None = None, out: str = "rank",
-           out_n: str = "group_rows", descending: bool = False) -> DataFrame:
+           out_n: str = "group_rows", descending: bool = False, n_chunks: int | None = None) -> DataFrame:
     """Exact 1-based row number by (value, tie) per ``group`` (whole table when None) and group size.
 
     Null values are dropped. Values and ties are compared as they are: any type that has an order will
@@ -34,7 +34,7 @@ def ranked(df: DataFrame, value: str, tie: str, group: list[str] | None = None,
     """
     group = group or []
     v = F.col(value)
-    rows, parts = placed(df.where(v.isNotNull()), [*[F.col(g) for g in group], v.desc() if descending else v.asc(), F.col(tie).asc()])
+    rows, parts = placed(df.where(v.isNotNull()), [*[F.col(g) for g in group], v.desc() if descending else v.asc(), F.col(tie).asc()], n_chunks)
     # one row per partition of the sort
     rows = rows.join(F.broadcast(parts), "_pid").withColumn("_g", F.col("_off") + F.col("_idx")).drop("_pid", "_off", "_idx")
     if not group:
@@ -44,9 +44,9 @@ def ranked(df: DataFrame, value: str, tie: str, group: list[str] | None = None,
     return rows.join(starts, group).withColumn(out, F.col("_g") - F.col("_first") + 1).drop("_g", "_first")
 
 
-def running_total(df: DataFrame, value: str, weight: str, out: str) -> DataFrame:
+def running_total(df: DataFrame, value: str, weight: str, out: str, n_chunks: int | None = None) -> DataFrame:
     """Running sum of ``weight`` in the order of distinct ``value`` over the whole table, two-pass."""
-    rows, _ = placed(df, [F.col(value)])
+    rows, _ = placed(df, [F.col(value)], n_chunks)
     totals = rows.groupBy("_pid").agg(F.sum(weight).alias("_w"))
     before = W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     offsets = F.broadcast(totals.select("_pid", F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_off")))
