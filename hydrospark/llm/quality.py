@@ -17,7 +17,7 @@ SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Transformed statistics and the least spread each is credited with, so that a statistic which is
 #: the same nearly everywhere (no symbols, no repeated lines) does not turn any deviation into an outlier.
-FEATURES = {"log_words": 0.5, "log_word_len": 0.15, "symbol_rate": 0.08, "dup_line_rate": 0.1, "repeat_rate": 0.15}
+FEATURES = {"log_words": 0.5, "log_word_len": 0.15, "symbol_rate": 0.05, "dup_line_rate": 0.1, "repeat_rate": 0.15}
 
 
 def repeat_words(codes: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
