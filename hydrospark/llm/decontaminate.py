@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hydrospark.llm.common import bounded_broadcast, cut, free_name
 
@@ -54,7 +54,7 @@ def slots(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text",
-          window: int = 6, coverage: float = 0.5) -> DataFrame:
+          window: int = 6, coverage: float = 0.5, drop_mixed: bool = False) -> DataFrame:
     """One row per document and benchmark item that it gives away.
 
     Text and items become templates: a number with its unit, a number, a capitalised word inside a
@@ -65,6 +65,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     alignment that passes covers at least ``coverage`` of the item's tokens; scattered windows of a long
     text do not add up. The fullest alignment is told, of equals the one with fewest changes, then the first.
 
+    With ``drop_mixed`` no alignment is left out for its slots: slots that break the one-to-one map are
+    not counted as covered, all other tokens are. A slot fits the map if it is unchanged, or if its values
+    are each other's most frequent partner in the alignment (of equals the smallest).
+
     Columns: id, item, ``n_tokens`` of the item covered, ``coverage``, ``n_slots`` compared,
     ``n_changed`` slots with another value. Items shorter than ``window`` tokens and null texts match
     nothing. Repeated rows of either side are one. Ids may be null; other columns are left out.
@@ -88,17 +92,34 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     both = both.withColumn("at", F.col("iat") + F.col("shift")).withColumnRenamed("doc", "mdoc")
     both = both.join(theirs, F.col("mdoc").eqNullSafe(theirs["doc"]) & (both["at"] == theirs["at"])).filter("t = u")
     slot = F.col("u").startswith("<")
+    if drop_mixed:
+        both = fitting(both, slot)
     judged = both.groupBy("doc", "item", "shift").agg(
         F.count(F.when(slot, 1)).alias("n_slots"), F.count(F.when(slot & (F.col("v") != F.col("w")), 1)).alias("n_changed"),
         F.count_distinct(F.when(slot, F.struct("w", "v"))).alias("pairs"), F.count_distinct(F.when(slot, F.col("w"))).alias("from"),
         F.count_distinct(F.when(slot, F.col("v"))).alias("to"), F.count_distinct("iat").alias("n_tokens"))
-    best = judged.filter("pairs = from AND pairs = to").groupBy("doc", "item").agg(F.max(F.struct("n_tokens", (-F.col("n_changed")).alias("col2"), (-F.col("shift")).alias("col3"), "n_slots")).alias("b"))
+    passed = judged if drop_mixed else judged.filter("pairs = from AND pairs = to")
+    best = passed.groupBy("doc", "item").agg(F.max(F.struct("n_tokens", (-F.col("n_changed")).alias("col2"), (-F.col("shift")).alias("col3"), "n_slots")).alias("b"))
     best = best.select("doc", "item", F.col("b.n_tokens").alias("n_tokens"), F.col("b.n_slots").alias("n_slots"), (-F.col("b.col2")).alias("n_changed"))
     sizes = bench.groupBy(F.col("item").alias("sitem")).agg(F.max(F.size(tokens(F.col("text")))).alias("size"))
     out = best.join(sizes, F.col("item").eqNullSafe(F.col("sitem"))).withColumn("coverage", F.col("n_tokens") / F.col("size")).filter(F.col("coverage") >= coverage)
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_tokens", F.round("coverage", 6).alias("coverage"), "n_slots", "n_changed")
 
 
+def fitting(both: DataFrame, slot: Column) -> DataFrame:
+    """The rows of ``both`` without the slots that do not fit the most frequent one-to-one map of their alignment."""
+    both = cut(both.select("doc", "item", "shift", "iat", "u", "w", "v"))
+    lane = ["doc", "item", "shift"]
+    seen = both.filter(slot & (F.col("v") != F.col("w"))).groupBy(*lane, "w", "v").agg(F.count_distinct("iat").alias("n"))
+    same = both.filter(slot & (F.col("v") == F.col("w"))).groupBy(*lane, "w", "v").agg(F.count_distinct("iat").alias("n"))
+    # a group holds the values of one alignment, at most one a token of the item
+    rank = lambda a, b: F.row_number().over(Window.partitionBy(*lane, a).orderBy(F.desc("n"), b))
+    ranked = seen.unionByName(same).withColumn("i", rank("w", "v")).withColumn("j", rank("v", "w"))
+    bad = cut(ranked.filter("v != w AND (i > 1 OR j > 1)").select(*[F.col(c).alias(f"b_{c}") for c in (*lane, "w", "v")]))
+    on = [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in (*lane, "w", "v")]
+    return both.join(bounded_broadcast(bad, 200_000), [slot, *on], "left_anti")
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that give away an item."""
     gone = free_name(docs, "_gone")
