@@ -16,18 +16,27 @@ UNITS = ["%", "percent", "mm", "cm", "m", "km", "inch", "inches", "ft", "feet",
 TOKEN = r"(?:[.!?\n]\s*)?(?:[0-9]+(?:[.,][0-9]+)*(?: ?[\p{L}%]+)?|[\p{L}\p{N}]+)"
 
 
-def tokens(text: Column) -> Column:
+#: A capitalised word, and the same tokens with runs of such words inside a sentence as one.
+NAME = r"\p{Lu}[\p{L}\p{N}&&[^\p{Lu}\p{Lt}]]+(?![\p{L}\p{N}])"
+PLAIN = r"[0-9]+(?:[.,][0-9]+)*(?: ?[\p{L}%]+)?|[\p{L}\p{N}]+"
+TOKEN_OF_RUNS = rf"[.!?\n]\s*(?:{PLAIN})|{NAME}(?:[ \t]+{NAME})+|{PLAIN}"
+
+
+def tokens(text: Column, runs: bool = False) -> Column:
     # the line feed makes the first word the start of a sentence
-    return F.regexp_extract_all(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), F.lit(TOKEN_OF_RUNS if runs else TOKEN), F.lit(0))
 
 
-def template(token: Column) -> Column:
+def template(token: Column, runs: bool = False) -> Column:
     """Placeholder or lower-cased word of a token: numbers, numbers with units, and capitalised words inside a sentence."""
     opens = F.substring(token, 1, 1).isin(".", "!", "?", "\n")
     bare = F.when(opens, F.regexp_replace(token, r"^[.!?\n]\s*", "")).otherwise(token)
     first = F.substring(bare, 1, 1)
     word = F.lower(F.regexp_replace(bare, r"^[0-9]+([.,][0-9]+)* ?", ""))
     capital = (first != F.lower(first)) & (F.length(bare) > 1) & (F.substring(bare, 2, 1_000_000) == F.lower(F.substring(bare, 2, 1_000_000)))
+    if runs:
+        # of the tokens that start with a letter only runs of names have a space inside
+        capital = capital | (bare.contains(" ") | bare.contains("\t"))
     return F.when(first.between("0", "9"), F.when(word.isin(*UNITS), F.lit("<num><unit>")).otherwise(F.concat(F.lit("<num>"), word))) \
         .when(capital & ~opens, F.lit("<name>")).otherwise(F.lower(bare))
 
@@ -38,23 +47,24 @@ def slot_value(token: Column) -> Column:
     return F.when(F.substring(bare, 1, 1).between("0", "9"), F.regexp_extract(bare, r"^[0-9]+([.,][0-9]+)*", 0)).otherwise(F.lower(bare))
 
 
-def windows(rows: DataFrame, keys: list[str], text: str, window: int) -> DataFrame:
+def windows(rows: DataFrame, keys: list[str], text: str, window: int, runs: bool = False) -> DataFrame:
     """One row per template window: keys, its place ``at`` in the text's tokens, and its hash ``h``."""
-    coded = rows.select(*keys, F.transform(tokens(F.col(text)), lambda x: F.xxhash64(template(x))).alias("codes"))
+    coded = rows.select(*keys, F.transform(tokens(F.col(text), runs), lambda x: F.xxhash64(template(x, runs))).alias("codes"))
     # several references to ``codes`` keep it a column of its own, computed once
     spans = F.when(F.size("codes") >= window, F.transform(F.sequence(F.lit(0), F.size("codes") - window),
                                                          lambda i: F.xxhash64(*[F.get("codes", i + k) for k in range(window)])))
     return coded.select(*keys, F.posexplode(spans).alias("at", "h"))
 
 
-def slots(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+def slots(rows: DataFrame, keys: list[str], text: str, runs: bool = False) -> DataFrame:
     """Template and value of each token: keys, ``at``, ``template``, ``value``."""
-    listed = rows.select(*keys, F.posexplode(tokens(F.col(text))).alias("at", "token"))
-    return listed.select(*keys, "at", template(F.col("token")).alias("template"), slot_value(F.col("token")).alias("value"))
+    listed = rows.select(*keys, F.posexplode(tokens(F.col(text), runs)).alias("at", "token"))
+    return listed.select(*keys, "at", template(F.col("token"), runs).alias("template"), slot_value(F.col("token")).alias("value"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text",
-          window: int = 6, coverage: float = 0.5, drop_mixed: bool = False) -> DataFrame:
+          window: int = 6, coverage: float = 0.5, drop_mixed: bool = False,
+          reach: float = 0.0, fold: bool = False) -> DataFrame:
     """One row per document and benchmark item that it gives away.
 
     Text and items become templates: a number with its unit, a number, a capitalised word inside a
@@ -69,47 +79,81 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     not counted as covered, all other tokens are. A slot fits the map if it is unchanged, or if its values
     are each other's most frequent partner in the alignment (of equals the smallest).
 
+    With a ``reach``, alignments of a pair whose shifts differ by at most this share of the item's tokens
+    are judged as one: an added or dropped word starts a new shift but does not part the text. Of tokens
+    that meet several times at most as many count as the document has. Windows further apart in a long
+    text still do not add up. With ``fold``, runs of capitalised words inside a sentence are one name.
+
     Columns: id, item, ``n_tokens`` of the item covered, ``coverage``, ``n_slots`` compared,
     ``n_changed`` slots with another value. Items shorter than ``window`` tokens and null texts match
     nothing. Repeated rows of either side are one. Ids may be null; other columns are left out.
     """
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
     bench = cut(items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).distinct())
-    sought = cut(windows(bench, ["item"], "text", window).withColumnRenamed("at", "iat"))
+    lane = "lane" if reach > 0 else "shift"
+    sought = cut(windows(bench, ["item"], "text", window, fold).withColumnRenamed("at", "iat"))
     # the distinct windows alone meet the corpus; their number is counted before they are broadcast
     wanted = cut(sought.select("h").distinct())
-    hits = windows(docs, ["doc"], "text", window).join(bounded_broadcast(wanted, 500_000), "h")
+    hits = windows(docs, ["doc"], "text", window, fold).join(bounded_broadcast(wanted, 500_000), "h")
     # a document is named by its id; equal ids are told apart by nothing, so their alignments add up
     hits = cut(hits.distinct())
     aligned = hits.join(bounded_broadcast(sought, 500_000), "h").select("doc", "item", (F.col("at") - F.col("iat")).alias("shift"), "iat")
     matched = cut(aligned.select("doc", "item", "shift", F.explode(F.sequence(F.col("iat"), F.col("iat") + window - 1)).alias("iat")).distinct())
+    sizes = bench.groupBy(F.col("item").alias("sitem")).agg(F.max(F.size(tokens(F.col("text"), fold))).alias("size"))
+    if reach > 0:
+        matched = cut(lanes(matched, cut(sizes), reach, coverage))
 
     ids = cut(matched.select(F.col("doc").alias("wanted")).distinct())
     texts = docs.join(bounded_broadcast(ids, 200_000), F.col("doc").eqNullSafe(F.col("wanted")), "left_semi").distinct()
-    theirs = slots(texts, ["doc"], "text").select("doc", F.col("at"), F.col("template").alias("t"), F.col("value").alias("v"))
-    ours = cut(slots(bench, ["item"], "text").select(F.col("item").alias("oitem"), F.col("at").alias("oat"), F.col("template").alias("u"), F.col("value").alias("w")))
+    theirs = slots(texts, ["doc"], "text", fold).select("doc", F.col("at"), F.col("template").alias("t"), F.col("value").alias("v"))
+    ours = cut(slots(bench, ["item"], "text", fold).select(F.col("item").alias("oitem"), F.col("at").alias("oat"), F.col("template").alias("u"), F.col("value").alias("w")))
     both = matched.join(bounded_broadcast(ours, 500_000), F.col("item").eqNullSafe(F.col("oitem")) & (F.col("iat") == F.col("oat")))
     both = both.withColumn("at", F.col("iat") + F.col("shift")).withColumnRenamed("doc", "mdoc")
     both = both.join(theirs, F.col("mdoc").eqNullSafe(theirs["doc"]) & (both["at"] == theirs["at"])).filter("t = u")
     slot = F.col("u").startswith("<")
     if drop_mixed:
-        both = fitting(both, slot)
-    judged = both.groupBy("doc", "item", "shift").agg(
-        F.count(F.when(slot, 1)).alias("n_slots"), F.count(F.when(slot & (F.col("v") != F.col("w")), 1)).alias("n_changed"),
+        both = fitting(both, slot, lane)
+    # of a lane's tokens that meet several times only one counts, and an unchanged one before a changed one
+    n_slots = F.count_distinct(F.when(slot, F.col("iat"))) if reach > 0 else F.count(F.when(slot, 1))
+    n_same = F.count_distinct(F.when(slot & (F.col("v") == F.col("w")), F.col("iat")))
+    n_changed = n_slots - n_same if reach > 0 else F.count(F.when(slot & (F.col("v") != F.col("w")), 1))
+    n_tokens = F.count_distinct("iat")
+    if reach > 0:
+        n_tokens = F.least(n_tokens, F.count_distinct(F.col("iat") + F.col("shift")))
+    judged = both.groupBy("doc", "item", lane).agg(
+        n_slots.alias("n_slots"), n_changed.alias("n_changed"),
         F.count_distinct(F.when(slot, F.struct("w", "v"))).alias("pairs"), F.count_distinct(F.when(slot, F.col("w"))).alias("from"),
-        F.count_distinct(F.when(slot, F.col("v"))).alias("to"), F.count_distinct("iat").alias("n_tokens"))
+        F.count_distinct(F.when(slot, F.col("v"))).alias("to"), n_tokens.alias("n_tokens"))
     passed = judged if drop_mixed else judged.filter("pairs = from AND pairs = to")
-    best = passed.groupBy("doc", "item").agg(F.max(F.struct("n_tokens", (-F.col("n_changed")).alias("col2"), (-F.col("shift")).alias("col3"), "n_slots")).alias("b"))
+    best = passed.groupBy("doc", "item").agg(F.max(F.struct("n_tokens", (-F.col("n_changed")).alias("col2"), (-F.col(lane)).alias("col3"), "n_slots")).alias("b"))
     best = best.select("doc", "item", F.col("b.n_tokens").alias("n_tokens"), F.col("b.n_slots").alias("n_slots"), (-F.col("b.col2")).alias("n_changed"))
-    sizes = bench.groupBy(F.col("item").alias("sitem")).agg(F.max(F.size(tokens(F.col("text")))).alias("size"))
     out = best.join(sizes, F.col("item").eqNullSafe(F.col("sitem"))).withColumn("coverage", F.col("n_tokens") / F.col("size")).filter(F.col("coverage") >= coverage)
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_tokens", F.round("coverage", 6).alias("coverage"), "n_slots", "n_changed")
 
 
-def fitting(both: DataFrame, slot: Column) -> DataFrame:
+def lanes(matched: DataFrame, sizes: DataFrame, reach: float, coverage: float) -> DataFrame:
+    """``matched`` with its ``lane``: from each shift of a pair on, all rows up to ``reach`` of the item's tokens further.
+
+    Pairs that would not reach the coverage with all their shifts together are left out. A row takes part
+    in as many lanes as there are shifts within reach before it, fewer than the item has tokens.
+    """
+    pair = lambda a, b: [F.col(f"{a}doc").eqNullSafe(F.col(f"{b}doc")), F.col(f"{a}item").eqNullSafe(F.col(f"{b}item"))]
+    able = matched.groupBy("doc", "item").agg(F.count_distinct("iat").alias("n")).join(bounded_broadcast(sizes, 200_000), F.col("item").eqNullSafe(F.col("sitem")))
+    able = cut(able.filter(F.col("n") / F.col("size") >= coverage).select(F.col("doc").alias("p_doc"), F.col("item").alias("p_item"),
+                                                                         F.floor(F.col("size") * reach).alias("far")))
+    rows = cut(matched.join(bounded_broadcast(able, 200_000), pair("", "p_")).select("doc", "item", "shift", "iat", "far"))
+    # stretches of far + 1 shifts: a lane that holds a row starts in the row's stretch or in the one before
+    stretch = F.floor(F.col("shift") / (F.col("far") + 1))
+    starts = cut(rows.select(F.col("doc").alias("l_doc"), F.col("item").alias("l_item"), F.col("shift").alias("lane"), stretch.alias("l_in")).distinct())
+    rows = rows.withColumn("in", F.explode(F.array(stretch, stretch - 1)))
+    rows = rows.join(starts, [*pair("", "l_"), F.col("in") == F.col("l_in"), F.col("shift") >= F.col("lane"), F.col("shift") <= F.col("lane") + F.col("far")])
+    return rows.select("doc", "item", "shift", "iat", "lane")
+
+
+def fitting(both: DataFrame, slot: Column, group: str = "shift") -> DataFrame:
     """The rows of ``both`` without the slots that do not fit the most frequent one-to-one map of their alignment."""
-    both = cut(both.select("doc", "item", "shift", "iat", "u", "w", "v"))
-    lane = ["doc", "item", "shift"]
+    both = cut(both.select("doc", "item", *dict.fromkeys(["shift", group]), "iat", "u", "w", "v"))
+    lane = ["doc", "item", group]
     seen = both.filter(slot & (F.col("v") != F.col("w"))).groupBy(*lane, "w", "v").agg(F.count_distinct("iat").alias("n"))
     same = both.filter(slot & (F.col("v") == F.col("w"))).groupBy(*lane, "w", "v").agg(F.count_distinct("iat").alias("n"))
     # a group holds the values of one alignment, at most one a token of the item
@@ -127,6 +171,19 @@ def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return docs.join(bounded_broadcast(bad, 200_000), F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
 
 
+def without_near_leaks(docs: DataFrame, items: DataFrame, text: str = "text", reach: float = 0.25) -> DataFrame:
+    """``docs`` without the rows that give away an item, also with mixed-up slots or words added or dropped.
+
+    Rows are judged one by one, whatever their ids. Names are looked at word by word, so that headings keep
+    their words, and in runs, so that a name may have become a longer one.
+    """
+    row = free_name(docs, "_row")
+    rest = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    for fold in (False, True):
+        rest = without_leaks(rest, items, row, text, drop_mixed=True, reach=reach, fold=fold)
+    return rest.drop(row)
+
+
 #: The same by definition, with whole templates in place of hashes.
 SQL = r"""
 WITH src AS (

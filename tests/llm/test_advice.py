@@ -25,3 +25,21 @@ def test_slots_that_are_mixed_up_cover_nothing(spark, tmp_path):
     row = lambda values: " ".join(f"{v} and {w}" for v, w in zip(values[::2], values[1::2]))
     table = row([1, 2, 1, 2, 1, 2, 1, 2, 1, 2, 1, 2])
     assert stage(spark, tmp_path, [row([3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14]), row([3, 4] * 6)], [table]) == [0]
+
+
+def test_alignments_close_together_add_up(spark, tmp_path):
+    passage = sentence(77, 36)
+    words = passage.split(" ")
+    thirds = [" ".join(words[i:i + 12]) for i in (0, 12, 24)]
+    question = "at dawn young Peter gave old Maria some of the apples that Walter and Susan had found near Oxford while little Henry slept"
+    longer = question
+    for name, other in (("Peter", "Anna Lee"), ("Maria", "Tom Fox"), ("Walter", "Ben Ali"), ("Susan", "Eva Kern"), ("Oxford", "New York"), ("Henry", "Max Roe")):
+        longer = longer.replace(name, other)
+    heading = "the Old Stone Bridge Over The Narrow River And The Wool Trade"
+    texts = [
+        f"{thirds[0]} indeed {thirds[1]} again {thirds[2]}",
+        f"and {longer} there",
+        f"see {heading} there",
+        f"{thirds[0]} {sentence(5, 900)} {thirds[2][:60]}",  # far apart: no leak
+    ]
+    assert stage(spark, tmp_path, texts, [passage, question, heading]) == [3]
