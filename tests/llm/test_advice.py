@@ -43,3 +43,12 @@ def test_alignments_close_together_add_up(spark, tmp_path):
         f"{thirds[0]} {sentence(5, 900)} {thirds[2][:60]}",  # far apart: no leak
     ]
     assert stage(spark, tmp_path, texts, [passage, question, heading]) == [3]
+
+
+def test_rows_with_null_or_equal_ids_are_judged_one_by_one(spark, tmp_path):
+    texts, ids = [sentence(1), ITEM, sentence(2), sentence(3), ITEM, sentence(3), sentence(4)], [None, None, None, 10, 10, 10, 10]
+    assert stage(spark, tmp_path, texts, [ITEM], ids) == [0, 2, 3, 5, 6]
+    docs = spark.createDataFrame([(i, t, "en", "a", k) for k, (i, t) in enumerate(zip(ids, texts))], SCHEMA)
+    assert sorted(r["n_chars"] for r in corpus_pipeline.jaccard_stage(spark, docs, "").collect()) == [0, 2, 3, 4, 6]
+    nothing = docs.limit(1).withColumn("text", F.lit(None).cast("string"))
+    assert corpus_pipeline.jaccard_stage(spark, nothing.union(nothing), "").count() == 2
