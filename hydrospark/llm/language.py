@@ -123,12 +123,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int =
     return Model(langs, logp.astype(np.float32), ok)
 
 
-def _label(part: pa.RecordBatch, text: str, model: Model, penalty: float, spans: bool) -> dict[str, object]:
+def _label(part: pa.RecordBatch, text: str, model: Model, penalty: float, spans: bool, sure_margin: float | None = None) -> dict[str, object]:
     texts = [t or "" for t in part.column(text).to_pylist()]
     codes, words, counts = split_words(texts)
     n, k = len(texts), len(model.langs)
     pred = np.array(["und"] * n, dtype=object)
     score, n_langs = np.zeros(n), np.zeros(n, np.int64)
+    sure_share = np.zeros(n)
     out_spans: list[list[dict]] = [[] for _ in texts]
     if words and k:
         table = model.word_scores(words)
@@ -152,6 +153,8 @@ def _label(part: pa.RecordBatch, text: str, model: Model, penalty: float, spans:
         pred[has] = np.array(model.langs, dtype=object)[best[has]]
         score[has] = sure[has]
         n_langs = (letters > 0).sum(1)
+        if sure_margin is not None:
+            sure_share = share_of_sure_spans(table, codes, doc, path, lens[codes], n, sure_margin)
         if spans:
             start = np.concatenate([[0], np.cumsum(counts)])
             for i in np.flatnonzero(has):
@@ -165,7 +168,22 @@ def _label(part: pa.RecordBatch, text: str, model: Model, penalty: float, spans:
                 names = [model.langs[p[0]], *(model.langs[p[e]] for e in edge)]
                 out_spans[i] = [{"lang": x, "start": a, "end": b} for x, a, b in zip(names, cuts, cuts[1:])]
     res = {"lang_pred": pred.tolist(), "score": np.clip(score, 0, 1), "n_langs": n_langs}
-    return res | ({"lang_spans": out_spans} if spans else {})
+    return res | ({"lang_spans": out_spans} if spans else {}) | ({"sure_share": sure_share} if sure_margin is not None else {})
+
+
+def share_of_sure_spans(table: np.ndarray, codes: np.ndarray, doc: np.ndarray, path: np.ndarray, lens: np.ndarray, n: int, margin: float) -> np.ndarray:
+    """Share of each text's letters in spans whose language beats the next one by ``margin`` a word, over the words of the span."""
+    edge = np.flatnonzero((np.diff(doc) != 0) | (np.diff(path) != 0)) + 1
+    first = np.concatenate([[0], edge])
+    size = np.diff(np.append(first, len(codes)))
+    spans, found = np.arange(len(first)), path[first]
+    word_span = np.repeat(spans, size)
+    evidence = np.stack([np.bincount(word_span, table[codes, j], len(first)) for j in range(table.shape[1])], axis=1)
+    own = evidence[spans, found]
+    evidence[spans, found] = -np.inf
+    sure = own - evidence.max(1) >= margin * size
+    letters = np.bincount(word_span, lens, len(first))
+    return np.bincount(doc[first], letters * sure, n) / np.maximum(np.bincount(doc[first], letters, n), 1)
 
 
 def offsets(text: str, n: int) -> list[int]:
@@ -178,16 +196,20 @@ def offsets(text: str, n: int) -> list[int]:
     return found[:n]
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = 8.0, spans: bool = True) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = 8.0, spans: bool = True,
+             sure_margin: float | None = None) -> DataFrame:
     """``docs`` plus ``lang_pred``, ``score``, ``n_langs`` and the labelled character spans ``lang_spans``.
 
     Each word is scored by its letter trigrams under the languages whose script it is written in;
     Viterbi with ``penalty`` for each switch labels the words; the document takes the language with the
     most letters. Only the text is looked at. Null text, text without a letter, and any text under a
     model without languages is ``und`` with score 0 and no spans. Long texts are decoded whole. Columns
-    of the input that carry one of the four names are replaced.
+    of the input that carry one of the four names are replaced. With ``sure_margin`` (nats), ``sure_share``
+    is the share of letters in spans whose language beats the next one by that much a word of the span; it
+    depends neither on the length of the text nor on the number of its languages.
     """
-    made = ["lang_pred", "score", "n_langs", "lang_spans"]
+    made = ["lang_pred", "score", "n_langs", "lang_spans"] + (["sure_share"] if sure_margin is not None else [])
     keep = [c for c in docs.columns if c not in made]
     schema = "lang_pred string, score double, n_langs bigint" + (", lang_spans array<struct<lang:string,start:int,end:int>>" if spans else "")
-    return map_slices(docs.select(*keep), text, lambda part: _label(part, text, model, penalty, spans), schema, keep)
+    schema += ", sure_share double" if sure_margin is not None else ""
+    return map_slices(docs.select(*keep), text, lambda part: _label(part, text, model, penalty, spans, sure_margin), schema, keep)

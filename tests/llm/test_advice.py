@@ -1,5 +1,7 @@
 """Cases of the second review: each lost documents or parts of the job before."""
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 from test_edges import ITEM, SCHEMA, sentence
@@ -12,6 +14,19 @@ def stage(spark, tmp_path, texts, items, ids=None):
     return sorted(r["n_chars"] for r in corpus_pipeline.benchmark_stage(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect())
 
 
+def test_texts_of_many_languages_stay(spark):
+    """Texts of two to four languages of which each span is sure, short and long; words that are as likely in all languages go."""
+    rng = random.Random(3)
+    letters = {"aa": "abcdeo", "bb": "fghiju", "cc": "klmnpe", "dd": "qrstvi"}
+    talk = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    rows = [(i, talk(lang, 80), lang, "a", 0) for i, lang in enumerate(sorted(letters) * 20)]
+    mixed = [" ".join(talk(lang, n) for lang in langs) for n in (30, 600) for langs in (["aa", "bb"], ["aa", "bb", "cc"], ["aa", "bb", "cc", "dd"])]
+    muddle = " ".join(["zzzz", "wwww", "yyyy"] * 40)
+    rows += [(1000 + k, t, None, "a", k + 1) for k, t in enumerate([*mixed, muddle, "12 34"])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r["n_chars"] for r in corpus_pipeline.language_stage(spark, docs.filter("n_chars IS NOT NULL"), "").collect() if r["n_chars"]) == [1, 2, 3, 4, 5, 6]
+
+
 def test_one_broken_slot_does_not_hide_a_leak(spark, tmp_path):
     texts = [
         ITEM.replace("40", "55", 1),  # equal values became different
