@@ -15,10 +15,13 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Transformed statistics and the least spread each is credited with, so that a statistic which is
+#: Transformed statistics and the least spread each is credited with in place of a smaller one, so that a statistic which is
 #: the same nearly everywhere (no symbols, no repeated lines) does not turn any deviation into an outlier.
 FEATURES = {"log_words": 0.5, "log_word_len": 0.15, "symbol_rate": 0.05, "dup_line_rate": 0.1, "repeat_rate": 0.15}
 
+#: The 0.999 quantile of chi-square for five statistics: any one of them alone can be an outlier.
+LIMIT = 20.515
+
 
 def repeat_words(codes: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     """Words of each document that lie in a 3-word window found twice or more in that document."""
@@ -114,7 +117,7 @@ def _scatter(moments: DataFrame, names: list[str], floors: list[float], prior: f
     pooled = moments.groupBy("_lang").agg(
         F.sum("n").alias("pn"), F.array(*[F.sum(F.col("s1")[i]) for i in range(p)]).alias("p1"),
         F.array(*[F.sum(F.col("s2")[i]) for i in range(len(index))]).alias("p2"))
-    ridge = np.diag(np.square(floors))
+    least, diagonal = np.square(floors), np.arange(p)
     # the kept share of a normal sample has less spread than the whole; chi-square consistency factor
     factor = consistency(share, p)
 
@@ -131,7 +134,9 @@ def _scatter(moments: DataFrame, names: list[str], floors: list[float], prior: f
             w = (g["n"] / (g["n"] + prior)).to_numpy(float)
             m = w[:, None] * m + (1 - w)[:, None] * pm
             c = w[:, None, None] * c + (1 - w)[:, None, None] * pc
-            inv = np.linalg.inv(c * factor + ridge)
+            c = c * factor
+            c[:, diagonal, diagonal] = np.maximum(c[:, diagonal, diagonal], least)
+            inv = np.linalg.inv(c)
             yield pd.DataFrame({"_lang": g["_lang"], "_source": g["_source"], "c": list(m), "inv": list(inv.reshape(-1, p * p))})
 
     return moments.join(pooled, "_lang").mapInPandas(solve, "_lang string, _source string, c array<double>, inv array<double>")
@@ -167,7 +172,7 @@ def robust_distances(rows: DataFrame, features: dict[str, float], share: float =
               .join(mid, keys))
     p = len(names)
     zero = F.lit(0.0)
-    spread = [F.lit(1.0) / (F.pow(F.col(f"a_{x}") * 1.4826, 2) + f * f) for x, f in zip(names, floors, strict=True)]
+    spread = [F.lit(1.0) / F.greatest(F.pow(F.col(f"a_{x}") * 1.4826, 2), F.lit(float(f * f))) for x, f in zip(names, floors, strict=True)]
     model = cut(mad.select(*keys, F.array(*[F.col(f"m_{x}") for x in names]).alias("c"),
                            F.array(*[spread[i] if i == j else zero for i in range(p) for j in range(p)]).alias("inv")))
     for _ in range(c_steps):
@@ -178,7 +183,7 @@ def robust_distances(rows: DataFrame, features: dict[str, float], share: float =
     return rows.join(bounded_broadcast(model), keys).withColumn("d2", _distance(names)).drop("c", "inv")
 
 
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", limit: float = 32.0,
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", limit: float = LIMIT,
                   share: float = 0.75, c_steps: int = 4) -> DataFrame:
     """Counts, the fixed rules and the outlier verdict of every document; the text itself is left out.
 

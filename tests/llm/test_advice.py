@@ -67,3 +67,20 @@ def test_rows_with_null_or_equal_ids_are_judged_one_by_one(spark, tmp_path):
     assert sorted(r["n_chars"] for r in corpus_pipeline.jaccard_stage(spark, docs, "").collect()) == [0, 2, 3, 4, 6]
     nothing = docs.limit(1).withColumn("text", F.lit(None).cast("string"))
     assert corpus_pipeline.jaccard_stage(spark, nothing.union(nothing), "").count() == 2
+
+
+def test_each_statistic_alone_can_be_an_outlier(spark):
+    from hydrospark.llm import quality
+    rng = random.Random(9)
+    words = lambda n, size=5: ["".join(rng.choice("abcdefghij") for _ in range(size)) for _ in range(n)]
+    again = words(68)
+    planted = [
+        " ".join(words(3600)), " ".join(words(300, 12)),  # words, their length
+        " ".join(w[1:] + "#" if i < 87 else w for i, w in enumerate(words(300))),  # symbols
+        "\n".join(x for _ in range(50) for x in (" ".join(words(5)), "abcde")),  # lines
+        " ".join(again + words(82) + again + words(82)),  # windows
+    ]
+    rows = [(i, " ".join(words(300)), "en", "a", 0) for i in range(300)] + [(1000 + i, t, "en", "a", 0) for i, t in enumerate(planted)]
+    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(got[1000 + i]["base_failed"] or got[1000 + i]["kept"] for i in range(5))
+    assert all(got[i]["kept"] for i in range(300))
