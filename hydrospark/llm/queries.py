@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hydrospark.llm import decontaminate, linedup, mixing
+from hydrospark.llm import decontaminate, linedup, merkle, mixing
 from hydrospark.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+@register("op11_merkle", merkle.sql())
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    altered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    leaves = merkle.manifest(docs, altered=altered, alteration={"n_chars": F.col("n_chars") + 1}).leaves
+    return leaves.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_sha256().alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
