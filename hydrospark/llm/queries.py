@@ -111,6 +111,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+@register("op12_token_output")
+def op12_token_output(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+    from hydrospark.llm.tokenfiles import crc_of_ids, read_tokens, write_tokens
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = write_tokens(docs, vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+    return crc_of_ids(read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
