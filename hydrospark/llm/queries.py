@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hydrospark.llm import decontaminate, linedup, merkle, mixing
+from hydrospark.llm import decontaminate, hardneg, linedup, merkle, mixing
 from hydrospark.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,14 @@ def op12_token_output(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return crc_of_ids(read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@register("op13_hard_negatives", hardneg.sql())
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select("vec_id", "embedding", moved.alias("label"))
+    return hardneg.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
