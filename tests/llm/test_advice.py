@@ -84,3 +84,31 @@ def test_each_statistic_alone_can_be_an_outlier(spark):
     got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert not any(got[1000 + i]["base_failed"] or got[1000 + i]["kept"] for i in range(5))
     assert all(got[i]["kept"] for i in range(300))
+
+
+def test_long_runs_do_not_end_the_job(spark, tmp_path):
+    """Runs of names, joined digits, signs and blanks of 200,000 pieces, in query and stage; the item after them is found."""
+    n = 200_000
+    runs = ["Alpha " * n, "1," * n, "." * n, "1 " * n, " " * n, "Alpha 12 km " * (n // 3), "Ab, " * n]
+    assert stage(spark, tmp_path, [f"{r}\n so then {ITEM}" for r in runs] + runs, [ITEM]) == list(range(len(runs), 2 * len(runs)))
+
+
+def test_tables_of_placeholders_find_nothing(spark):
+    """A document of numbers does not meet an item of numbers, in as few rows; within an alignment they count."""
+    from hydrospark.llm import decontaminate
+    numbers = " ; ".join(str(i) for i in range(5000))
+    items = spark.createDataFrame([(1, " ; ".join(str(i) for i in range(100, 112))), (2, "what is the sum of the numbers " + " , ".join(str(i) for i in range(20)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, numbers, "en", "a", 0), (2, "so what is the sum of the numbers " + " , ".join(str(i + 50) for i in range(20)), "en", "a", 0)], SCHEMA)
+    got = [(r["doc_id"], r["item_id"], r["n_tokens"], r["n_slots"], r["n_changed"]) for r in decontaminate.leaks(docs, items).collect()]
+    assert got == [(2, 2, 27, 20, 20)]
+
+
+def test_names_that_open_a_sentence_or_grow(spark):
+    from hydrospark.llm import decontaminate
+    item = "Peter has four old boats. Peter sells two of them to Maria and keeps the rest for the summer."
+    other = "Anna Lee has four old boats. Anna Lee sells two of them to Tom and keeps the rest for the summer."
+    mixed = "Anna has four old boats. Walter sells two of them to Tom and keeps the rest for the summer."
+    docs = spark.createDataFrame([(1, other, "en", "a", 0), (2, mixed, "en", "a", 0)], SCHEMA)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["n_slots"], r["n_changed"]) for r in decontaminate.leaks(docs, items).collect())
+    assert got == [(1, 3, 3), (2, 2, 2)]
