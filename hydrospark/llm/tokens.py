@@ -7,8 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from hydrospark.llm.common import map_slices
 
@@ -16,9 +15,28 @@ from hydrospark.llm.common import map_slices
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+#: A run of white space so long that the pattern's look-ahead would exhaust the regex engine.
+LONG_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+#: A vocabulary file larger than this is refused: it travels to every task.
+VOCABULARY_BYTES = 64_000_000
+
+
+def load_ranks(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+
+
+def encode(enc, text: str) -> np.ndarray:
+    """Token ids of a text. A long run of blanks is cut where the pattern cuts it: before its last
+    character, which goes with what follows, or at the end of the text; the run is a piece of its own."""
+    out, at = [], 0
+    for m in LONG_BLANKS.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[at:m.start()])
+        out += enc._encode_single_piece(text[m.start():end].encode())
+        at = end
+    out += enc.encode_ordinary(text[at:])
+    return np.asarray(out, np.int64)
 
 
 #: A section ends after a sentence's end and the blanks behind it, or before a line feed.
@@ -43,7 +61,7 @@ def sections_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def token_spans(enc, size_of: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Character start and end of each token of the text; a token that holds part of a character covers all of it."""
     raw = text.encode("utf-8", "replace")
-    ids = np.asarray(enc.encode_to_numpy(text), np.int64) if hasattr(enc, "encode_to_numpy") else np.asarray(enc.encode_ordinary(text), np.int64)
+    ids = encode(enc, text)
     ends = np.cumsum(size_of[ids])
     starts = ends - size_of[ids]
     if len(raw) == len(text):
@@ -103,16 +121,19 @@ def section_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     text has no tokens and no sections. Repeated rows are counted alike.
 
     ``vocabulary`` is the path of a rank file (base64 token and rank a line) of a public tokenizer; it is
-    sent to the executors with the job's files.
+    read on the driver and its content, of at most 64 MB, travels with the job.
     """
-    spark = docs.sparkSession
-    name = ship(spark, vocabulary)
+    with open(vocabulary, "rb") as f:
+        content = f.read()
+    if len(content) > VOCABULARY_BYTES:
+        raise ValueError(f"{vocabulary} has more than {VOCABULARY_BYTES} bytes")
+    sent = docs.sparkSession.sparkContext.broadcast(content)
     held = []
 
     def tools():
         if not held:
             import tiktoken
-            ranks = load_ranks(SparkFiles.get(name))
+            ranks = load_ranks(sent.value)
             size_of = np.zeros(max(ranks.values()) + 1, np.int64)
             for token, rank in ranks.items():
                 size_of[rank] = len(token)
@@ -129,11 +150,3 @@ def section_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     return map_slices(docs.select(id_col, text), text, run,
                       "n_tokens bigint, n_outside bigint, sections array<struct<start:int,end:int,n_tokens:bigint,n_crossing:bigint>>", [id_col])
 
-
-def ship(spark: SparkSession, path: str) -> str:
-    """Send a driver-side file to the executors once; its name there."""
-    sc = spark.sparkContext
-    name = path.rsplit("/", 1)[-1]
-    if not any(str(f).endswith(f"/{name}") for f in sc.listFiles):
-        sc.addFile(path)
-    return name
