@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -60,6 +62,7 @@ class Searcher:
 
     def __init__(self, notices: Iterable[tuple[str, str]] = NOTICES, edit_every: int = 12):
         self.notices = []
+        self.seen: dict[tuple[int, str], tuple[int, int, int] | None] = {}
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, (phrase, label) in enumerate(notices):
             edits = len(phrase) // edit_every
@@ -75,40 +78,73 @@ class Searcher:
         self.seeds.make_automaton()
 
     def find(self, norm: str) -> list[tuple[int, int, str, int, int]]:
-        """(start, end, label, edits, notice length) in the normalised text; of overlapping matches the one with fewest edits."""
-        windows: dict[int, list[list[int]]] = {}
+        """(start, end, label, edits, notice length) in the normalised text; of overlapping matches the one with fewest edits.
+
+        Every place where a seed lets a notice begin is searched on its own, in a stretch no longer than the
+        notice and its edits, so the work grows with the number of seeds found and no match hides another one.
+        """
+        begins: dict[int, set[int]] = {}
         for end, (size, places) in self.seeds.iter(norm):
             for k, shift in places:
-                phrase, _, edits, _ = self.notices[k]
-                begin = end + 1 - size - shift
-                lo, hi = max(0, begin - edits - 1), begin + len(phrase) + edits + 1
-                held = windows.setdefault(k, [])
-                if held and lo <= held[-1][1]:
-                    held[-1][1] = max(hi, held[-1][1])
-                    held[-1][0] = min(lo, held[-1][0])
-                else:
-                    held.append([lo, hi])
-        found = []
-        for k, spans in windows.items():
-            phrase, label, _, pattern = self.notices[k]
-            for lo, hi in spans:
-                found += [(m.start(), m.end(), label, sum(m.fuzzy_counts), len(phrase)) for m in pattern.finditer(norm, lo, min(hi, len(norm)))]
-        found.sort(key=lambda x: (x[3] / x[4], -x[4], x[0], x[2]))
-        chosen: list[tuple[int, int, str, int, int]] = []
-        for x in found:
-            if all(x[1] <= y[0] or y[1] <= x[0] for y in chosen):
-                chosen.append(x)
-        return sorted(chosen)
-
-
-def base_places(norm: str) -> list[tuple[int, str]]:
+                begins.setdefault(k, set()).add(end + 1 - size - shift)
+        found = set()
+        for k, places in begins.items():
+            phrase, label, edits, pattern = self.notices[k]
+            last = None
+            for begin in sorted(places):
+                # beginnings fewer edits apart are one place
+                if last is not None and begin - last <= edits:
+                    continue
+                last = begin
+                lo = max(0, begin - edits - 1)
+                part = norm[lo:begin + len(phrase) + 2 * edits + 1]
+                at = self._match(k, pattern, part)
+                if at is not None:
+                    found.add((lo + at[0], lo + at[1], label, at[2], len(phrase)))
+        return disjoint(sorted(found, key=lambda x: (x[3] / x[4], -x[4], x[0], x[2])))
+
+    def _match(self, k: int, pattern: regex.Pattern, part: str) -> tuple[int, int, int] | None:
+        """Best match of a notice in a short stretch: start, end, edits. Stretches seen before are remembered."""
+        key = (k, part)
+        if key not in self.seen:
+            if len(self.seen) > 50_000:
+                self.seen.clear()
+            m = pattern.search(part)
+            self.seen[key] = m and (m.start(), m.end(), sum(m.fuzzy_counts))
+        return self.seen[key]
+
+
+def disjoint(spans: list[tuple]) -> list[tuple]:
+    """Of overlapping spans the first in the order given, sorted by place."""
+    chosen: list[tuple] = []
+    for x in spans:
+        i = bisect_left(chosen, x[:2], key=lambda y: y[:2])
+        if (i == 0 or chosen[i - 1][1] <= x[0]) and (i == len(chosen) or x[1] <= chosen[i][0]):
+            chosen.insert(i, x)
+    return chosen
+
+
+class Words:
+    """Numbers of the words of a normalised text by place; blanks are counted once, when first asked."""
+
+    def __init__(self, norm: str):
+        self.norm, self.blanks = norm, None
+
+    def before(self, at: int) -> int:
+        """Blanks before ``at``."""
+        if self.blanks is None:
+            self.blanks = np.flatnonzero(np.frombuffer(self.norm.encode("utf-32-le", "surrogatepass"), "<u4") == 32)
+        return int(np.searchsorted(self.blanks, at))
+
+
+def base_places(norm: str, words: Words | None = None) -> list[tuple[int, str]]:
     """(word number, label) of every place of a base phrase."""
-    places = []
+    places, words = [], words or Words(norm)
     if "license" in norm:
         for phrase, label in BASE:
             at = norm.find(f" {phrase} ")
             while at >= 0:
-                places.append((norm.count(" ", 0, at), label))
+                places.append((words.before(at), label))
                 at = norm.find(f" {phrase} ", at + 1)
     return sorted(places)
 
@@ -118,7 +154,8 @@ def _scan(part: pa.RecordBatch, text: str, searcher: Searcher) -> dict[str, list
     for t in part.column(text).to_pylist():
         t = t or ""
         norm = normalise(t)
-        places = base_places(norm)
+        words = Words(norm)
+        places = base_places(norm, words)
         found = searcher.find(norm)
         base, labels = {x for _, x in places}, {x[2] for x in found}
         out["n_words"].append(norm.count(" ") - 1 if norm != "  " else 0)
@@ -132,7 +169,7 @@ def _scan(part: pa.RecordBatch, text: str, searcher: Searcher) -> dict[str, list
         if found:
             at = [m.span() for m in WORD.finditer(t)]
             for a, b, label, edits, _ in found:
-                first, last = norm.count(" ", 0, a) - 1, norm.count(" ", 0, b) - 1
+                first, last = words.before(a) - 1, words.before(b) - 1
                 spans.append({"label": label, "start": at[max(first, 0)][0], "end": at[min(max(last, 0), len(at) - 1)][1], "edits": edits})
         out["license_spans"].append(spans)
     return out

@@ -50,7 +50,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_license_scan")
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hydrospark.llm.licenses import scan_licenses
-    return scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "license_spans")
+    return scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 @register("op4_secret_scan")
