@@ -154,9 +154,8 @@ def homogeneous(q):
     gauged, _ = R.split_gauged(q.descriptors, q.series.select("site"))
     idx = Q.index_flood(annual(q), "flow")
     own = gauged.select(F.col("gws_id").alias("site"), F.col("point_id").alias("donor"))
-    mean = F.col("index_value")
-    s = Q.site_arrays(annual(q), "flow").join(idx, "site").join(own, "site").select("donor", F.transform("x", lambda v: v / mean).alias("x"))
-    return R.homogeneous_pools(q.descriptors, gauged, DESC, P.cut(s))
+    s = annual(q).join(idx, "site").join(own, "site").select("donor", (F.col("flow") / F.col("index_value")).alias("x"))
+    return R.homogeneous_pools(q.descriptors, gauged, DESC, s)
 
 
 @query("regional_flood")

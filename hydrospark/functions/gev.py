@@ -26,95 +26,170 @@ MODELS = {"m0": [0, 2, 4], "m1": [0, 1, 2, 4], "m2": [0, 1, 2, 3, 4]}
 SHAPE_MIN, SHAPE_MAX = -0.99, 5.0
 
 
-def _objective(theta, x, c, mask):
-    """Negative log likelihood and its gradient in all five parameters, row by row."""
-    z_scale = np.exp(-(theta[:, 2, None] + theta[:, 3, None] * c))
-    z = (x - theta[:, 0, None] - theta[:, 1, None] * c) * z_scale
+def _derivatives(theta, x, c, mask):
+    """Negative log likelihood per row, its gradient and its Hessian in all five parameters, in closed form."""
+    scale = np.exp(-(theta[:, 2, None] + theta[:, 3, None] * c))
+    z = (x - theta[:, 0, None] - theta[:, 1, None] * c) * scale
     xi = theta[:, 4, None]
     t = 1.0 + xi * z
     bad = (t <= 0) & mask
     t = np.where(t > 0, t, 1.0)
     small = np.abs(xi) < 1e-5
     safe = np.where(small, 1.0, xi)
-    y = np.where(small, z - xi * z * z / 2, np.log(t) / safe)
+    y = np.log(t) / safe
+    zt = z / t
+    a = (zt - y) / safe
+    b = -(zt * zt + 2 * a) / safe
+    if small.any():
+        zz = z * z
+        y, a, b = np.where(small, z - xi * zz / 2, y), np.where(small, -zz / 2 + 2 * xi * zz * z / 3, a), np.where(small, 2 * zz * z / 3, b)
     e = np.exp(np.clip(-y, -700, 700))
-    slope = (1.0 + xi) - e
-    dy_dxi = np.where(small, -z * z / 2 + 2 * xi * z**3 / 3, (z / t - y) / safe)
-    f = np.where(mask, -np.log(z_scale) + (1.0 + xi) * y + e, 0.0).sum(1)
+    f = np.where(mask, (1.0 + xi) * y + e + theta[:, 2, None] + theta[:, 3, None] * c, 0.0).sum(1)
     f = np.where(bad.any(1) | ~np.isfinite(f), np.inf, f)
-    d_loc = np.where(mask, -slope / t * z_scale, 0.0)
-    d_lsc = np.where(mask, 1.0 - slope / t * z, 0.0)
-    d_xi = np.where(mask, y + slope * dy_dxi, 0.0)
-    g = np.stack([d_loc.sum(1), (d_loc * c).sum(1), d_lsc.sum(1), (d_lsc * c).sum(1), d_xi.sum(1)], 1)
-    return f, g
+    slope = 1.0 + xi - e
+    p = slope / t                                   # by z
+    pz = (1.0 + xi) * (e - xi) / (t * t)            # by z twice
+    px = (1.0 + e * a - z * p) / t                  # by z and shape
+    whole = mask.all()
+    held = lambda v: v if whole else np.where(mask, v, 0.0)
+    # location, log scale, shape; a slope parameter adds a factor c
+    first = [held(-scale * p), held(1.0 - z * p), held(y + slope * a)]
+    second = {(0, 0): held(scale * scale * pz), (0, 1): held(scale * (p + z * pz)), (1, 1): held(z * p + z * z * pz),
+              (0, 2): held(-scale * px), (1, 2): held(-z * px), (2, 2): held(2 * a + e * a * a + slope * b)}
+    of, with_c = [0, 0, 1, 1, 2], [0, 1, 0, 1, 0]
+    plain = not (theta[:, 1].any() or theta[:, 3].any() or c.any())
+    sums = {}
 
+    def total(v, power, key):
+        if plain and power:
+            return 0.0
+        if (key, power) not in sums:
+            sums[key, power] = (v * c**power if power else v).sum(1)
+        return sums[key, power]
 
-def _hessian(theta, use, x, c, mask, h=1e-5):
-    out = np.empty((len(theta), len(use), len(use)))
-    for j, k in enumerate(use):
-        step = np.zeros_like(theta)
-        step[:, k] = h
-        out[:, j] = ((_objective(theta + step, x, c, mask)[1] - _objective(theta - step, x, c, mask)[1]) / (2 * h))[:, use]
-    return (out + out.transpose(0, 2, 1)) / 2
+    g = np.zeros((len(x), 5))
+    h = np.zeros((len(x), 5, 5))
+    for i in range(5):
+        g[:, i] = total(first[of[i]], with_c[i], of[i])
+        for j in range(i, 5):
+            key = (min(of[i], of[j]), max(of[i], of[j]))
+            h[:, i, j] = h[:, j, i] = total(second[key], with_c[i] + with_c[j], key)
+    return f, g, h
 
 
-def fit_rows(x, c, mask, use, rounds=40):
-    """Damped Newton on standardised rows; returns parameters, nll and covariance in the units of x."""
+def fit_rows(x, c, mask, use, rounds=60, start=None, with_cov=True):
+    """Damped Newton on standardised rows; returns parameters, nll and covariance in the units of x.
+
+    ``start`` gives the parameters to begin at, for rows that are standardised already (by the law they
+    were drawn from); their values are fitted as they are.
+    """
     n = mask.sum(1)
-    mean = np.where(mask, x, 0).sum(1) / n
-    sd = np.sqrt(np.where(mask, (x - mean[:, None]) ** 2, 0).sum(1) / np.maximum(n - 1, 1))
-    sd = np.where(sd > 0, sd, 1.0)
-    u = np.where(mask, (x - mean[:, None]) / sd[:, None], 0.0)
-    theta = np.zeros((len(x), 5))
-    theta[:, 2] = np.log(np.sqrt(6) / np.pi)
-    theta[:, 0] = -0.5772156649 * np.exp(theta[:, 2])
-    if 4 in use:
-        theta[:, 4] = 0.05
-    f, g = _objective(theta, u, c, mask)
-    damp = np.full(len(x), 1e-2)
+    if start is None:
+        mean = np.where(mask, x, 0).sum(1) / n
+        sd = np.sqrt(np.where(mask, (x - mean[:, None]) ** 2, 0).sum(1) / np.maximum(n - 1, 1))
+        sd = np.where(sd > 0, sd, 1.0)
+        u = np.where(mask, (x - mean[:, None]) / sd[:, None], 0.0)
+        theta = np.zeros((len(x), 5))
+        theta[:, 2] = np.log(np.sqrt(6) / np.pi)
+        theta[:, 0] = -0.5772156649 * np.exp(theta[:, 2])
+        if 4 in use:
+            theta[:, 4] = 0.05
+    else:
+        mean, sd, u, theta = np.zeros(len(x)), np.ones(len(x)), x, start.copy()
+    f, g, hess = _derivatives(theta, u, c, mask)
+    damp = np.full(len(x), 1e-2 if start is None else 1e-4)
     eye = np.eye(len(use))
-    hess = _hessian(theta, use, u, c, mask)
     live = np.arange(len(x))
     for _ in range(rounds):
-        th, uu, cc, mm = theta[live], u[live], c[live], mask[live]
-        gu, hu = g[live][:, use].copy(), hess[live].copy()
+        gu, hu = g[live][:, use], hess[live][:, use][:, :, use]
         if 4 in use:
             # a shape held at its limit by the gradient stays there while the others move
-            held = (th[:, 4] <= SHAPE_MIN) & (gu[:, -1] > 0)
+            held = (theta[live, 4] <= SHAPE_MIN) & (gu[:, -1] > 0)
             gu[held, -1] = 0.0
             hu[held, -1, :], hu[held, :, -1], hu[held, -1, -1] = 0.0, 0.0, 1.0
-        open_rows = (np.abs(gu).max(1) > 1e-6 * n[live]) & (damp[live] < 1e5)
+        open_rows = (np.abs(gu).max(1) > 1e-7 * n[live]) & (damp[live] < 1e5)
         if not open_rows.any():
             break
-        live, th, uu, cc, mm, gu, hu = live[open_rows], th[open_rows], uu[open_rows], cc[open_rows], mm[open_rows], gu[open_rows], hu[open_rows]
+        live, gu, hu = live[open_rows], gu[open_rows], hu[open_rows]
         size = np.maximum(np.abs(hu).max((1, 2)), 1e-8)
         try:
             step = np.linalg.solve(hu + (damp[live] * size)[:, None, None] * eye, -gu[:, :, None])[:, :, 0]
         except np.linalg.LinAlgError:
             damp[live] *= 10
             continue
-        trial = th.copy()
+        trial = theta[live]
         trial[:, use] += np.clip(step, -0.5, 0.5)
         trial[:, 4] = np.clip(trial[:, 4], SHAPE_MIN, SHAPE_MAX)
-        f2, g2 = _objective(trial, uu, cc, mm)
-        better = f2 < f[live]
-        damp[live] = np.clip(np.where(better, damp[live] / 8, damp[live] * 8), 1e-12, 1e6)
+        f2, g2, h2 = _derivatives(trial, u[live], c if len(c) == 1 else c[live], mask[live])
+        # at the optimum a step changes the likelihood by less than its rounding
+        better = f2 <= f[live] + 1e-12 * np.abs(f[live])
+        damp[live] = np.clip(np.where(better, damp[live] / 10, damp[live] * 8), 1e-14, 1e6)
         up = live[better]
-        if len(up):
-            theta[up], f[up], g[up] = trial[better], f2[better], g2[better]
-            hess[up] = _hessian(theta[up], use, u[up], c[up], mask[up])
+        theta[up], f[up], g[up], hess[up] = trial[better], f2[better], g2[better], h2[better]
     held = (theta[:, 4] <= SHAPE_MIN) & (g[:, 4] > 0)
     ok = np.abs(np.where(held[:, None] & (np.arange(5) == 4), 0.0, g)[:, use]).max(1) < 1e-3 * n
-    scale = np.ones((len(x), 5))
-    scale[:, 0] = scale[:, 1] = sd
-    unit = scale[:, use]
-    cov = np.linalg.pinv(hess) * unit[:, :, None] * unit[:, None, :]
+    cov = None
+    if with_cov:
+        scale = np.ones((len(x), 5))
+        scale[:, 0] = scale[:, 1] = sd
+        unit = scale[:, use]
+        cov = np.linalg.pinv(hess[:, use][:, :, use]) * unit[:, :, None] * unit[:, None, :]
     theta[:, 0] = theta[:, 0] * sd + mean
     theta[:, 1] *= sd
     theta[:, 2] += np.log(sd)
     return theta, f + n * np.log(sd), cov, ok
 
 
+def uniforms(key: np.uint64, reps: int, draws: int) -> np.ndarray:
+    """Uniforms in (0, 1) by place: a mix of the key, the replicate and the draw, so that nothing depends on partitions."""
+    with np.errstate(over="ignore"):
+        v = np.uint64(key) + np.arange(1, reps * draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            v = (v ^ (v >> np.uint64(shift))) * np.uint64(factor)
+        v ^= v >> np.uint64(31)
+    return ((v >> np.uint64(12)).astype(float) + 0.5).reshape(reps, draws) / 2.0**52
+
+
+def quantile(p, loc, scale, shape):
+    y = -np.log(p)
+    flat = np.abs(shape) < 1e-6
+    return loc + scale * np.where(flat, -np.log(y), (y**-shape - 1) / np.where(flat, 1.0, shape))
+
+
+def bootstrap_bounds(key: int, loc: float, scale: float, shape: float, rps: list[float], reps: int, draws: int, sig: float, dist: str) -> np.ndarray:
+    """Lower and upper bound of each return period's quantile over parametric replicates of one law.
+
+    Draws are of the law with location 0 and scale 1, which every fit starts from: fits move with
+    location and scale, so the quantiles are brought to the law's units at the end.
+    """
+    use = [0, 2, 4] if dist == "GEV" else [0, 2]
+    x = quantile(uniforms(key, reps, draws), 0.0, 1.0, shape)
+    start = np.zeros((reps, 5))
+    start[:, 4] = np.clip(shape, SHAPE_MIN, SHAPE_MAX) if dist == "GEV" else 0.0
+    theta, _, _, _ = fit_rows(x, np.zeros((1, 1)), np.ones_like(x, bool), use, start=start, with_cov=False)
+    fitted = theta[:, 4] if dist == "GEV" else np.full(reps, 1e-8)
+    q = np.stack([quantile(1 - 1 / rp, theta[:, 0], np.exp(theta[:, 2]), fitted) for rp in rps])
+    return loc + scale * np.quantile(q, [sig / 2, 1 - sig / 2], axis=1).T
+
+
+def bounds_of(rps: list[float], reps: int, draws: int, sig: float, dist: str):
+    """Function for ``mapInArrow``: rows (region, key, loc, scale, shape) to rows (region, rp, lower, upper)."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                key, loc, scale, shape = (b.column(c)[r].as_py() for c in ("key", "loc", "scale", "shape"))
+                if None in (loc, scale, shape):
+                    continue
+                got = bootstrap_bounds(key % 2**64, loc, scale, shape, rps, reps, draws, sig, dist)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array([r] * len(rps))), pa.array([float(p) for p in rps]), pa.array(got[:, 0]), pa.array(got[:, 1])],
+                    names=[b.schema.names[0], "rp", "lower", "upper"])
+
+    return run
+
+
 def fit_udf(model: str = "m0", dist: str = "GEV") -> Callable[[Column, Column], Column]:
     """Vectorised fit of (values, covariate) arrays; covariates are ignored by m0, Gumbel has no shape."""
     use = [k for k in MODELS[model] if dist == "GEV" or k != 4]
@@ -181,20 +256,3 @@ def ad_statistic(samples: list[np.ndarray]) -> float:
     var = (a * big**3 + b * big**2 + c * big + d) / ((big - 1.0) * (big - 2) * (big - 3))
     return (a2 - (k - 1)) / np.sqrt(var)
 
-
-def homogeneous_prefix(limit: float = 0.95) -> Callable[[Column], Column]:
-    """Number of leading samples that pass the test together; grows by one sample until the first failure."""
-    b0, b1, b2 = AD_CRITICAL[limit]
-
-    @F.pandas_udf("int")
-    def prefix(pools: pd.Series) -> pd.Series:
-        out = []
-        for pool in pools:
-            samples = [np.asarray(s, dtype=float) for s in pool]
-            k = 1
-            while k < len(samples) and ad_statistic(samples[:k + 1]) <= b0 + b1 / np.sqrt(k) + b2 / k:
-                k += 1
-            out.append(k)
-        return pd.Series(out, dtype="int32")
-
-    return prefix

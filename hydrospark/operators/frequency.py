@@ -191,22 +191,17 @@ def growth_curve(params: DataFrame, rps: list[float], region: str = "region", n_
     """(region, rp, lower, level, upper): quantile of the regional law and bootstrap bounds.
 
     Uniforms come from a hash of (seed, region, replicate, draw), so results do not depend on
-    partitioning. A replicate is one row with an array of draws; fits run on batches of rows.
+    partitioning. A region's replicates are ``n_boot`` by ``draws`` numbers, bounded by the call; they are drawn,
+    fitted and reduced to their bounds where the region's row lies, so only bounds leave the task.
     """
-    from hydrospark.functions.gev import fit_udf
+    from hydrospark.functions.gev import bounds_of
     level = return_levels(params, rps, region)
-    rep = params.select(region, "loc", "scale", "shape", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep"))
+    kind = params.schema[region].dataType.simpleString()
+    rows = params.select(region, F.xxhash64(F.lit(seed), F.col(region)).alias("key"), *[F.col(c).cast("double").alias(c) for c in ("loc", "scale", "shape")])
     # small rows, heavy work: a fixed number of tasks keeps all cores busy where sizes alone would merge them
-    rep = rep.repartition(4 * params.sparkSession.sparkContext.defaultParallelism, region, "rep")
-    p = lambda d: (F.pmod(F.xxhash64(F.lit(seed), F.col(region), F.col("rep"), d), F.lit(2**40)) + 0.5) / float(2**40)
-    x = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda d: S.gev_quantile(p(d), F.col("loc"), F.col("scale"), F.col("shape")))
-    fit = rep.select(region, "rep", x.alias("x")).withColumn("f", fit_udf("m0", dist)("x", F.array().cast("array<double>")))
-    again = fit.where("f.loc0 IS NOT NULL AND NOT isnan(f.loc0)").select(
-        region, "rep", F.col("f.loc0").alias("loc"), F.exp("f.lsc0").alias("scale"), F.col("f.shape").alias("shape"),
-        F.explode(F.array(*[F.lit(float(r)) for r in rps])).alias("rp"),
-    )
-    q = again.select(region, "rp", S.gev_quantile(1 - 1 / F.col("rp"), F.col("loc"), F.col("scale"), F.col("shape")).alias("q"))
-    return level.join(growth_bounds(q, [region, "rp"], "q", sig), [region, "rp"], "left").select(region, "rp", "lower", "level", "upper")
+    rows = rows.repartition(4 * params.sparkSession.sparkContext.defaultParallelism, region)
+    bounds = rows.mapInArrow(bounds_of([float(r) for r in rps], n_boot, draws, sig, dist), f"`{region}` {kind}, rp double, lower double, upper double")
+    return level.join(bounds, [region, "rp"], "left").select(region, "rp", "lower", "level", "upper")
 
 
 def growth_scale(sites: DataFrame, curves: DataFrame, region: str = "region") -> DataFrame:

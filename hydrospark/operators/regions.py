@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hydrospark.functions.gev import homogeneous_prefix
+from hydrospark.functions.gev import AD_CRITICAL
 from hydrospark.operators.ordered import ranked
 from hydrospark.session import cut
 
@@ -18,16 +18,21 @@ def split_gauged(sites: DataFrame, stations: DataFrame) -> tuple[DataFrame, Data
     return gauged, sites.join(gauged.select("point_id"), "point_id", "left_anti")
 
 
-def roi_distance(targets: DataFrame, gauged: DataFrame, descriptors: list[str], k: int, salts: int = 16) -> DataFrame:
+def descriptor_scale(targets: DataFrame, gauged: DataFrame, descriptors: list[str]) -> dict[str, float | None]:
+    """Standard deviation of each descriptor over all sites."""
+    both = targets.select("point_id", *descriptors).unionByName(gauged.select("point_id", *descriptors)).dropDuplicates(["point_id"])
+    return both.agg(*[F.stddev_samp(d).alias(d) for d in descriptors]).first().asDict()
+
+
+def roi_distance(targets: DataFrame, gauged: DataFrame, descriptors: list[str], k: int, salts: int = 16, sd: dict[str, float | None] | None = None) -> DataFrame:
     """(site, rank, donor, distance): donors by Euclidean distance over standardised descriptors.
 
-    Descriptors are scaled by their standard deviation over all sites. Gauged sites travel as
+    Descriptors are scaled by ``sd``, by default their standard deviation over the sites given. Gauged sites travel as
     blocks of about a few hundred in one array; each target meets a block once, keeps its nearest
     ``k`` of the block inside the array, and the kept donors are ranked per target: at most ``k`` rows
     each. Targets are dealt over ``salts`` copies of every block, so few blocks still fill many tasks.
     """
-    both = targets.select("point_id", *descriptors).unionByName(gauged.select("point_id", *descriptors)).dropDuplicates(["point_id"])
-    sd = both.agg(*[F.stddev_samp(d).alias(d) for d in descriptors]).first()
+    sd = sd or descriptor_scale(targets, gauged, descriptors)
     use = [d for d in descriptors if sd[d]]
     vec = F.array(*[F.col(d).cast("double") / float(sd[d]) for d in use])
     n_blocks = max(1, -(-gauged.count() // BLOCK))
@@ -48,35 +53,112 @@ def roi_distance(targets: DataFrame, gauged: DataFrame, descriptors: list[str],
     return out.where(F.col("rank") <= k).select("site", "rank", "donor", "distance")
 
 
+#: Harmonic numbers up to this one are listed, larger ones come from the asymptotic series.
+_LISTED = 32
+
+
+def harmonic(n: Column) -> Column:
+    """Sum of 1 / i for i = 1 to n, to the last digits of a double."""
+    listed = [0.0]
+    for i in range(1, _LISTED):
+        listed.append(listed[-1] + 1.0 / i)
+    x = n.cast("double")
+    far = F.ln(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4))) - 1 / (252 * F.pow(x, F.lit(6)))
+    return F.when(n < _LISTED, F.get(F.array(*[F.lit(v) for v in listed]), n.cast("int"))).otherwise(far)
+
+
+def ad_statistics(members: DataFrame, series: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, k, stat): the standardised k-sample Anderson-Darling statistic of each set of donors.
+
+    ``members`` is (keys, donor), ``series`` (donor, x). The sum over all places of the pooled order turns into
+    one over the values: each value moves its sample's count from its place on, so it adds a difference of
+    two prefix sums that have closed forms. One window gives the place in the pool, one aggregation the rest;
+    equal values share the first place of theirs. Sets too small for a variance get null.
+    """
+    within = W.partitionBy("donor").orderBy("x")
+    # a donor's rows number its years
+    own = series.select("donor", "x", F.row_number().over(within).alias("m"), F.count(F.lit(1)).over(W.partitionBy("donor")).alias("n"))
+    pool = W.partitionBy(*keys)
+    rows = members.join(own, "donor").withColumns({"place": F.rank().over(pool.orderBy("x")), "pooled": F.count(F.lit(1)).over(pool)})
+    big, n, before = F.col("pooled"), F.col("n"), F.col("place") - 1
+    last, rest = harmonic(big - 1), harmonic(big - F.col("place"))
+    # sums of 1 / (j (N - j)) and of 1 / (N - j) from the value's place to the end
+    t = rest
+    s = (2 * last - harmonic(before) - last + rest) / big
+    term = big / n * (2 * F.col("m") - 1) * s - 2 * t
+    sets = rows.groupBy(*keys).agg(F.max("pooled").alias("pooled"), F.sum(term).alias("a2"), F.count_distinct("donor").alias("k"), F.sum(1 / (n * n)).alias("hs"))
+    sets = sets.withColumn("h", harmonic(big - 1))
+    # sum of (h - H(i)) / (N - i) for i = 1 to N - 2
+    step = lambda acc, i: F.struct((acc["h"] - 1 / i).alias("h"), (acc["g"] + (acc["h"] - 1 / i) / (F.col("pooled") - i)).alias("g"))
+    g = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(big - 2, F.lit(1))), F.struct(F.col("h").alias("h"), F.lit(0.0).alias("g")), step, lambda acc: acc["g"])
+    # a table of its own: the formula below names each of its columns many times
+    sets = cut(sets.withColumns({"g": g, "k": F.col("k").cast("double"), "n": big.cast("double")}))
+    n, k, h, g, hs = (F.col(c) for c in ("n", "k", "h", "g", "hs"))
+    a = (4 * g - 6) * (k - 1) + (10 - 6 * g) * hs
+    b = (2 * g - 4) * k * k + 8 * h * k + (2 * g - 14 * h - 4) * hs - 8 * h + 4 * g - 6
+    c = (6 * h + 2 * g - 2) * k * k + (4 * h - 4 * g + 6) * k + (2 * h - 6) * hs + 4 * h
+    d = (2 * h + 6) * k * k - 4 * h * k
+    var = F.try_divide(a * n * n * n + b * n * n + c * n + d, (n - 1) * (n - 2) * (n - 3))
+    a2 = F.col("a2") + n * h - (n - 1)
+    return sets.select(*keys, k.cast("bigint").alias("k"), F.try_divide(a2 - (k - 1), F.sqrt(F.when(var > 0, var))).alias("stat"))
+
+
 def homogeneous_pools(targets: DataFrame, gauged: DataFrame, descriptors: list[str], series: DataFrame, limit: float = 0.95,
                       first: int = 8) -> DataFrame:
     """(site, rank, donor): for each target the longest run of nearest donors that is homogeneous.
 
-    ``series`` is (donor, x ARRAY) scaled by the donor's mean. Pools start with a few donors; only
-    targets whose whole pool passes are tried again with twice as many, until none is left open.
-    A target whose first two donors already differ gets its nearest donor alone.
+    ``series`` is (donor, x), one row per year, scaled by the donor's mean; donors without a row take no part.
+    Donors are added one rank at a time and every pool on the way must pass; a target whose first two donors
+    already differ gets its nearest donor alone. Ranks are tried in doubling blocks: only targets whose
+    whole block passes go on. The test looks at a set of donors, not at a target, so targets that share a
+    set share its test; a set is named by two sums of hashes, and its members are the leading donors of one
+    of its targets, so neither series nor donors are ever gathered into an array.
     """
-    total = gauged.count()
-    prefix = homogeneous_prefix(limit)
-    open_sites, size, parts = targets, min(first, total), []
+    known = cut(gauged.join(series.select(F.col("donor").alias("point_id")).distinct(), "point_id", "left_semi"))
+    series = cut(series.select("donor", F.col("x").cast("double").alias("x")).where(F.col("x").isNotNull()))
+    total = known.count()
+    # one scale for all rounds: the targets still open have another spread
+    sd = descriptor_scale(targets, gauged, descriptors)
+    b0, b1, b2 = AD_CRITICAL[limit]
+    open_sites, done, size, parts = targets, 1, min(first, total), []
+    along = W.partitionBy("site").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    name = lambda salt: F.sum(F.pmod(F.xxhash64("donor", F.lit(salt)), F.lit(2**40))).over(along)
     while True:
-        roi = cut(roi_distance(open_sites, gauged, descriptors, size))
-        pool = roi.join(series, "donor").groupBy("site").agg(F.array_sort(F.collect_list(F.struct("rank", "x"))).alias("_p"))
-        kept = cut(pool.repartition(4 * targets.sparkSession.sparkContext.defaultParallelism, "site").select("site", prefix(F.transform("_p", lambda s: s["x"])).alias("k")))
-        closed = kept.where(F.col("k") < size) if size < total else kept
-        parts.append(roi.join(closed, "site").where(F.col("rank") <= F.col("k")).select("site", "rank", "donor"))
+        roi = cut(roi_distance(open_sites, known, descriptors, size, sd=sd).select("site", "rank", "donor"))
+        runs = cut(roi.select("site", F.col("rank").alias("k"), name(1).alias("h1"), name(2).alias("h2")).where(F.col("k") > done))
+        sets = runs.groupBy("k", "h1", "h2").agg(F.min("site").alias("site"))
+        members = sets.join(roi, "site").where(F.col("rank") <= F.col("k")).select("k", "h1", "h2", "donor").withColumnRenamed("k", "ranks")
+        wide = F.col("k") - 1
+        stats = ad_statistics(members, series, ["ranks", "h1", "h2"])
+        failed = cut(stats.where(~F.coalesce(F.col("stat") <= b0 + b1 / F.sqrt(wide) + b2 / wide, F.lit(False))).select(F.col("ranks").alias("k"), "h1", "h2"))
+        ended = cut(runs.join(failed, ["k", "h1", "h2"]).groupBy("site").agg((F.min("k") - 1).alias("last")))
         if size >= total:
+            parts.append(roi.join(ended, "site", "left").where(F.col("rank") <= F.coalesce("last", F.lit(size))).select("site", "rank", "donor"))
             break
-        open_sites = cut(open_sites.join(kept.where(F.col("k") >= size).select(F.col("site").alias("point_id")), "point_id", "left_semi"))
+        parts.append(roi.join(ended, "site").where(F.col("rank") <= F.col("last")).select("site", "rank", "donor"))
+        open_sites = cut(open_sites.join(ended.select(F.col("site").alias("point_id")), "point_id", "left_anti"))
         if open_sites.isEmpty():
             break
-        size = min(2 * size, total)
+        done, size = size, min(2 * size, total)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def shared_sets(pools: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(site, region) and (region, donor): targets with the same donor set share a region, numbered by first appearance.
+
+    A set is named by its size and two sums of hashes of its donors, of whatever type their ids are.
+    """
+    name = lambda salt: F.sum(F.pmod(F.xxhash64("donor", F.lit(salt)), F.lit(2**40))).alias(f"h{salt}")
+    sets = cut(pools.select("site", "donor").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("n"), name(1), name(2)))
+    first = cut(sets.groupBy("n", "h1", "h2").agg(F.min("site").alias("first_site")))
+    numbered = cut(ranked(first, "first_site", "first_site", None, "no", "_n").select("n", "h1", "h2", "first_site", F.concat(F.lit("hom_reg"), F.col("no").cast("string")).alias("region")))
+    members = pools.select("site", "donor").distinct().join(numbered.select(F.col("first_site").alias("site"), "region"), "site").select("region", "donor")
+    return sets.join(numbered, ["n", "h1", "h2"]).select("site", "region"), members
+
+
 def region_pattern(pools: DataFrame) -> DataFrame:
     """(site, region): targets with the same donor set share a region, numbered by first appearance."""
     sets = pools.groupBy("site").agg(F.concat_ws("-", F.transform(F.array_sort(F.collect_set("donor")), lambda d: d.cast("string"))).alias("pattern"))

@@ -83,16 +83,11 @@ def regional(stats: DataFrame, annual: DataFrame, sites: DataFrame, descriptors:
     gauged, ungauged = cut(gauged), cut(ungauged)
     own = gauged.select(F.col("gws_id").alias("site"), F.col("point_id").alias("donor"))
     donor_stats = cut(stats.join(own, "site"))
-    mean = F.col("index_value")
-    scaled = Q.site_arrays(annual, value).join(donor_stats.select("site", "donor", "index_value"), "site").select(
-        "donor", F.transform("x", lambda v: v / mean).alias("x")
-    )
-    scaled = cut(scaled)
+    scaled = annual.select("site", F.col(value).cast("double").alias("x")).join(donor_stats.select("site", "donor", "index_value"), "site").select(
+        "donor", (F.col("x") / F.col("index_value")).alias("x"))
     pools = cut(R.homogeneous_pools(sites.select("point_id", *descriptors), gauged, descriptors, scaled, limit))
-    regions = cut(R.region_pattern(pools))
-    members = regions.groupBy("region").agg(F.min("pattern").alias("pattern")).select(
-        "region", F.explode(F.split("pattern", "-").cast("array<bigint>")).alias("donor")
-    )
+    regions, members = R.shared_sets(pools)
+    regions = cut(regions)
     params = cut(Q.weighted_params(members.join(donor_stats, "donor"), ["region"]))
     curves = cut(Q.growth_curve(params, rps, "region", n_boot, sig=sig))
     first = pools.where("rank = 1").select(F.col("site").alias("point_id"), "donor")
