@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import signal
 import sys
 import tempfile
 import time
@@ -34,16 +35,27 @@ def main() -> None:
     # the first query pays for class loading; it is not a measurement
     QUERIES["zonal_mean"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
+
+    def report() -> None:
+        print(json.dumps({
+            "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
+            "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        }), flush=True)
+
+    def ended(*_) -> None:
+        # what was measured until then is told
+        report()
+        os._exit(1)
+
+    signal.signal(signal.SIGTERM, ended)
     for name in sys.argv[1:] or HEADLINE:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     spark.stop()
     runs.cleanup()
-    print(json.dumps({
-        "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-        "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
-    }))
+    report()
 
 
 if __name__ == "__main__":

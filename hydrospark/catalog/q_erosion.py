@@ -140,12 +140,26 @@ def scan_climate(q):
     return U.with_dates(q.climate).select("point", "year", "yday", F.date_format("d", "yyyy-MM-dd").alias("d"), F.month("d").cast("bigint").alias("month"), "prcp")
 
 
-@query("monthly_climate", "climate", """m AS (SELECT point, month(make_date(year, 1, 1) + (yday - 1) * INTERVAL 1 DAY)::INTEGER AS month, prcp, tmax, tmin, srad FROM fx_climate)
-SELECT point, month, round(sum(prcp::DECIMAL(28,9))::DOUBLE / count(prcp) + 1e-9, 5) AS prcp_mean, round(coalesce(stddev_samp(prcp), 0.1e0), 6) AS prcp_sd, round(coalesce(skewness(prcp), 0e0), 5) AS prcp_skew, round(avg(CASE WHEN prcp > 0 THEN 1e0 ELSE 0e0 END), 6) AS p_wet_dry,
-  round(least(1e0, avg(CASE WHEN prcp > 0 THEN 1e0 ELSE 0e0 END) * 1.5e0), 6) AS p_wet_wet, round(sum(tmax::DECIMAL(28,9))::DOUBLE / count(tmax) + 1e-9, 6) AS tmax_mean, round(sum(tmin::DECIMAL(28,9))::DOUBLE / count(tmin) + 1e-9, 6) AS tmin_mean, round(sum(srad::DECIMAL(28,9))::DOUBLE / count(srad) * 2.064e0 + 1e-9, 6) AS sol_rad FROM m GROUP BY 1, 2""")
+def half_up(total: str, n: str, digits: int) -> str:
+    """Mean of a positive total in billionths, rounded half up in whole numbers as the other engine rounds."""
+    unit = 10 ** (9 - digits)
+    return f"((2 * ({total}) + ({n}) * {unit}) // (2 * ({n}) * {unit}))::DOUBLE / 1e{digits}"
+
+
+MONTHS = f"""m AS (SELECT point, month(make_date(year, 1, 1) + (yday - 1) * INTERVAL 1 DAY)::INTEGER AS month, prcp, tmax, tmin, srad, round(prcp * 1e6)::HUGEINT AS x FROM fx_climate),
+w AS (SELECT point, month, count(prcp)::DOUBLE AS n, sum(x)::DOUBLE AS s1, sum(x * x)::DOUBLE AS s2, sum(x * x * x)::DOUBLE AS s3, {half_up('sum((prcp * 1e9)::HUGEINT)', 'count(prcp)', 5)} AS pm,
+  avg(CASE WHEN prcp > 0 THEN 1e0 ELSE 0e0 END) AS wet, {half_up('sum((tmax * 1e9)::HUGEINT)', 'count(tmax)', 6)} AS tx, {half_up('sum((tmin * 1e9)::HUGEINT)', 'count(tmin)', 6)} AS tn,
+  {half_up('sum((srad * 1e9)::HUGEINT) * 2064', 'count(srad) * 1000', 6)} AS sr FROM m GROUP BY 1, 2),
+v AS (SELECT *, n * s2 - s1 * s1 AS d, s3 - 3 * s1 * s2 / n + 2 * s1 * s1 * s1 / (n * n) AS t FROM w)
+SELECT point, month, pm AS prcp_mean, round(CASE WHEN n > 1 THEN sqrt(greatest(d, 0e0) / (n * (n - 1))) / 1e6 ELSE 0.1e0 END, 6) AS prcp_sd,
+  round(CASE WHEN n > 2 AND d > 0 THEN t / n / pow(d / (n * n), 1.5e0) * sqrt(n * (n - 1)) / (n - 2) ELSE 0e0 END, 5) AS prcp_skew, round(wet, 6) AS p_wet_dry,
+  round(least(1e0, wet * 1.5e0), 6) AS p_wet_wet, tx AS tmax_mean, tn AS tmin_mean, sr AS sol_rad FROM v"""
+
+
+@query("monthly_climate", "climate", MONTHS)
 def monthly(q):
     m = U.monthly_climate(U.with_dates(q.climate))
-    return m.select("point", "month", r6(F.col("prcp_mean") + 1e-9, "prcp_mean", 5), r6("prcp_sd"), r6("prcp_skew", digits=5), r6("p_wet_dry"), r6("p_wet_wet"), *[r6(F.col(c) + 1e-9, c) for c in ("tmax_mean", "tmin_mean", "sol_rad")])
+    return m.select("point", "month", r6("prcp_mean", digits=5), r6("prcp_sd"), r6("prcp_skew", digits=5), r6("p_wet_dry"), r6("p_wet_wet"), *[r6(c) for c in ("tmax_mean", "tmin_mean", "sol_rad")])
 
 
 @query("hillslope_slope", "cells", """m AS (SELECT ws_id, avg(c) AS mx, avg(r) AS my, avg(z) AS mz, max(z) AS zx, min(z) AS zn FROM fx_cells GROUP BY 1),

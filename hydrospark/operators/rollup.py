@@ -49,18 +49,28 @@ def with_dates(climate: DataFrame) -> DataFrame:
 
 
 def monthly_climate(climate: DataFrame, point: str = "point") -> DataFrame:
-    """Monthly rain moments, wet-day shares and mean temperatures and radiation per point."""
+    """Monthly rain moments, wet-day shares and mean temperatures and radiation per point.
+
+    Rain enters as whole millionths, so its power sums are exact and the moments do not depend on the
+    order of the rows. Standard deviation and skew are those of a sample; too few days give 0.1 and 0.
+    """
     p = F.col("prcp")
-    n = F.count(p)
+    x = F.round(p * 1e6).cast("decimal(12,0)")
     mean = lambda c: F.try_divide(exact_sum(F.col(c)), F.count(c))
-    skew = F.when(n > 2, F.skewness(p) * F.sqrt(n * (n - 1.0)) / (n - 2))
     m = climate.groupBy(point, F.month("d").alias("month")).agg(
-        mean("prcp").alias("prcp_mean"), F.coalesce(F.stddev_samp(p), F.lit(0.1)).alias("prcp_sd"),
-        F.coalesce(skew, F.lit(0.0)).alias("prcp_skew"),
+        mean("prcp").alias("prcp_mean"), F.count(p).alias("_n"), F.sum(x).alias("_s1"), F.sum(x * x).alias("_s2"), F.sum((x * x * x).cast("decimal(38,0)")).alias("_s3"),
         F.coalesce(F.avg(F.when(p > 0, 1.0).otherwise(0.0)), F.lit(0.1)).alias("p_wet_dry"),
         mean("tmax").alias("tmax_mean"), mean("tmin").alias("tmin_mean"), (mean("srad") * 2.064).alias("sol_rad"),
     )
-    return m.withColumn("p_wet_wet", F.least(F.lit(1.0), F.col("p_wet_dry") * 1.5))
+    n, s1, s2, s3 = (F.col(c).cast("double") for c in ("_n", "_s1", "_s2", "_s3"))
+    spread = n * s2 - s1 * s1
+    # third central sum over n, and the correction of a sample
+    third = s3 - 3 * s1 * s2 / n + 2 * s1 * s1 * s1 / (n * n)
+    skew = F.when((n > 2) & (spread > 0), third / n / F.pow(spread / (n * n), F.lit(1.5)) * F.sqrt(n * (n - 1)) / (n - 2))
+    return m.withColumns({
+        "prcp_sd": F.coalesce(F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n * (n - 1))) / 1e6), F.lit(0.1)),
+        "prcp_skew": F.coalesce(skew, F.lit(0.0)), "p_wet_wet": F.least(F.lit(1.0), F.col("p_wet_dry") * 1.5),
+    }).drop("_n", "_s1", "_s2", "_s3")
 
 
 def hillslope_slope(hillslope_cells: DataFrame, lengths: DataFrame, z: str = "z") -> DataFrame:
