@@ -149,13 +149,23 @@ def regional(q):
     return P.regional(stats, annual(q), sites, DESC, RPS, n_boot=N_BOOT)
 
 
-@query("roi_homogeneous")
-def homogeneous(q):
+def pools(q, test):
     gauged, _ = R.split_gauged(q.descriptors, q.series.select("site"))
     idx = Q.index_flood(annual(q), "flow")
     own = gauged.select(F.col("gws_id").alias("site"), F.col("point_id").alias("donor"))
     s = annual(q).join(idx, "site").join(own, "site").select("donor", (F.col("flow") / F.col("index_value")).alias("x"))
-    return R.homogeneous_pools(q.descriptors, gauged, DESC, s)
+    return R.homogeneous_pools(q.descriptors, gauged, DESC, s, test=test)
+
+
+@query("roi_homogeneous")
+def homogeneous(q):
+    return pools(q, "AD")
+
+
+@query("roi_homogeneous_hw")
+def homogeneous_hw(q):
+    """Pools by the heterogeneity of L-moment ratios in place of the Anderson-Darling test."""
+    return pools(q, "HW")
 
 
 @query("regional_flood")

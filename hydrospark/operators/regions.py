@@ -103,17 +103,50 @@ def ad_statistics(members: DataFrame, series: DataFrame, keys: list[str]) -> Dat
     return sets.select(*keys, k.cast("bigint").alias("k"), F.try_divide(a2 - (k - 1), F.sqrt(F.when(var > 0, var))).alias("stat"))
 
 
+def hw_statistics(members: DataFrame, series: DataFrame, keys: list[str], sims: int = 500, seed: int = 123) -> DataFrame:
+    """(keys, k, stat): Hosking and Wallis' heterogeneity H1 of each set of donors.
+
+    L-moment ratios come from the ranks within each donor, a region's ratios are their means by record
+    length, and its spread is that of the donors' L-CV. The spread is held against ``sims`` simulated regions of
+    the same record lengths under the kappa law with the region's ratios; uniforms come from a hash of the set.
+    Only record lengths and ratios leave the aggregation. Donors with fewer than four years take no part.
+    """
+    from hydrospark.functions.gev import heterogeneity_of
+    by_value = W.partitionBy("donor").orderBy("x")
+    own = series.select("donor", "x", (F.row_number().over(by_value) - 1).cast("double").alias("i"), F.count(F.lit(1)).over(W.partitionBy("donor")).alias("n"))
+    x, i, n = F.col("x"), F.col("i"), F.col("n").cast("double")
+    b = own.where("n >= 4").groupBy("donor", "n").agg(
+        F.avg(x).alias("b0"), F.avg(x * i / (n - 1)).alias("b1"), F.avg(x * i * (i - 1) / ((n - 1) * (n - 2))).alias("b2"),
+        F.avg(x * i * (i - 1) * (i - 2) / ((n - 1) * (n - 2) * (n - 3))).alias("b3"))
+    l2 = 2 * F.col("b1") - F.col("b0")
+    site = cut(b.select("donor", "n", F.try_divide(l2, F.col("b0")).alias("cv"), F.try_divide(6 * F.col("b2") - 6 * F.col("b1") + F.col("b0"), l2).alias("s3"),
+                        F.try_divide(20 * F.col("b3") - 30 * F.col("b2") + 12 * F.col("b1") - F.col("b0"), l2).alias("s4")).where("cv IS NOT NULL AND s3 IS NOT NULL"))
+    rows = members.join(site, "donor")
+    mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    # a set's record lengths, one small number a donor
+    sets = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("k"), F.sort_array(F.collect_list(F.col("n").cast("int"))).alias("lengths"), mean("cv").alias("t"), mean("s3").alias("t3"), mean("s4").alias("t4"),
+        F.sqrt(F.greatest(F.sum(F.col("cv") * F.col("cv") * F.col("n")) / F.sum("n") - mean("cv") * mean("cv"), F.lit(0.0))).alias("v"))
+    sets = cut(sets.withColumn("key", F.xxhash64(F.lit(seed), *keys)))
+    kinds = {f.name: f.dataType.simpleString() for f in sets.schema.fields}
+    spread = sets.repartition(4 * members.sparkSession.sparkContext.defaultParallelism, *keys)
+    return spread.mapInArrow(heterogeneity_of([*keys, "k"], sims), ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "k")) + ", stat double")
+
+
 def homogeneous_pools(targets: DataFrame, gauged: DataFrame, descriptors: list[str], series: DataFrame, limit: float = 0.95,
-                      first: int = 8) -> DataFrame:
+                      first: int = 8, test: str = "AD", hw_limit: float = 2.0) -> DataFrame:
     """(site, rank, donor): for each target the longest run of nearest donors that is homogeneous.
 
     ``series`` is (donor, x), one row per year, scaled by the donor's mean; donors without a row take no part.
+    ``test`` is "AD" (k-sample Anderson-Darling at confidence ``limit``) or "HW" (heterogeneity below ``hw_limit``).
     Donors are added one rank at a time and every pool on the way must pass; a target whose first two donors
     already differ gets its nearest donor alone. Ranks are tried in doubling blocks: only targets whose
     whole block passes go on. The test looks at a set of donors, not at a target, so targets that share a
     set share its test; a set is named by two sums of hashes, and its members are the leading donors of one
     of its targets, so neither series nor donors are ever gathered into an array.
     """
+    if test not in ("AD", "HW"):
+        raise ValueError(f"test {test!r} is neither 'AD' nor 'HW'")
     known = cut(gauged.join(series.select(F.col("donor").alias("point_id")).distinct(), "point_id", "left_semi"))
     series = cut(series.select("donor", F.col("x").cast("double").alias("x")).where(F.col("x").isNotNull()))
     total = known.count()
@@ -129,8 +162,11 @@ def homogeneous_pools(targets: DataFrame, gauged: DataFrame, descriptors: list[s
         sets = runs.groupBy("k", "h1", "h2").agg(F.min("site").alias("site"))
         members = sets.join(roi, "site").where(F.col("rank") <= F.col("k")).select("k", "h1", "h2", "donor").withColumnRenamed("k", "ranks")
         wide = F.col("k") - 1
-        stats = ad_statistics(members, series, ["ranks", "h1", "h2"])
-        failed = cut(stats.where(~F.coalesce(F.col("stat") <= b0 + b1 / F.sqrt(wide) + b2 / wide, F.lit(False))).select(F.col("ranks").alias("k"), "h1", "h2"))
+        if test == "AD":
+            stats, most = ad_statistics(members, series, ["ranks", "h1", "h2"]), b0 + b1 / F.sqrt(wide) + b2 / wide
+        else:
+            stats, most = hw_statistics(members, series, ["ranks", "h1", "h2"]), F.lit(hw_limit)
+        failed = cut(stats.where(~F.coalesce(F.col("stat") <= most, F.lit(False))).select(F.col("ranks").alias("k"), "h1", "h2"))
         ended = cut(runs.join(failed, ["k", "h1", "h2"]).groupBy("site").agg((F.min("k") - 1).alias("last")))
         if size >= total:
             parts.append(roi.join(ended, "site", "left").where(F.col("rank") <= F.coalesce("last", F.lit(size))).select("site", "rank", "donor"))

@@ -73,7 +73,7 @@ def rain_curve(stats: DataFrame, watersheds: DataFrame, rps: list[float], n_boot
 
 
 def regional(stats: DataFrame, annual: DataFrame, sites: DataFrame, descriptors: list[str], rps: list[float], value: str = "flow",
-             n_boot: int = 501, sig: float = 0.05, limit: float = 0.95) -> dict[str, DataFrame]:
+             n_boot: int = 501, sig: float = 0.05, limit: float = 0.95, test: str = "AD") -> dict[str, DataFrame]:
     """Regional estimates for gauged and ungauged watersheds.
 
     ``sites``: point_id, gws_id, area_ha and the descriptors. Gauged watersheds use their own index
@@ -85,7 +85,7 @@ def regional(stats: DataFrame, annual: DataFrame, sites: DataFrame, descriptors:
     donor_stats = cut(stats.join(own, "site"))
     scaled = annual.select("site", F.col(value).cast("double").alias("x")).join(donor_stats.select("site", "donor", "index_value"), "site").select(
         "donor", (F.col("x") / F.col("index_value")).alias("x"))
-    pools = cut(R.homogeneous_pools(sites.select("point_id", *descriptors), gauged, descriptors, scaled, limit))
+    pools = cut(R.homogeneous_pools(sites.select("point_id", *descriptors), gauged, descriptors, scaled, limit, test=test))
     regions, members = R.shared_sets(pools)
     regions = cut(regions)
     params = cut(Q.weighted_params(members.join(donor_stats, "donor"), ["region"]))
