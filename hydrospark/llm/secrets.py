@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -218,18 +219,19 @@ def cut_windows(tok: Tokens, y: np.ndarray, context: int, negative_at: int | Non
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = 12_000, context: int = 12, negative_every: int = 8):
+def fit(docs: DataFrame, text: str = "text", sample: int = 12_000, context: int = 12, negative_every: int = 8, per_text: int = 64):
     """Train the field on windows around base matches in a bounded hash sample of texts.
 
-    About ``sample`` whole texts are looked at (all if there are fewer); every secret in them gives a
-    window of ``context`` tokens on either side, with and without signs, and one text in ``negative_every`` without a secret a
-    window at a place set by its hash. Labels come from the base patterns alone. Without any base match
-    in the sample the field keeps every token outside.
+    About ``sample`` different whole texts are looked at (all if there are fewer), a text and its copies once; every
+    secret in them gives a window of ``context`` tokens on either side, with and without signs, up to ``per_text``
+    windows a text, evenly spread over it, and one text in ``negative_every`` without a secret a window at a place set by its
+    hash. So at most ``sample`` times ``per_text`` windows reach the driver, however often a text repeats. Labels
+    come from the base patterns alone. Without any base match in the sample the field keeps every token outside.
     """
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    total = rows.count()
+    total = rows.select("h").distinct().count()
     unit = F.col("h").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    chosen = rows.filter(unit < min(1.0, sample / max(total, 1)))
+    chosen = rows.filter(unit < min(1.0, sample / max(total, 1))).groupBy("h").agg(F.min("text").alias("text"))
 
     def windows(batches):
         for batch in batches:
@@ -237,7 +239,8 @@ def fit(docs: DataFrame, text: str = "text", sample: int = 12_000, context: int
             for t, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist()):
                 if not base_spans(t) and (h >> 53) % negative_every:
                     continue
-                for x, y in window_labels(t, context, (h >> 56) & 0xFFFFFF):
+                found = window_labels(t, context, (h >> 56) & 0xFFFFFF)
+                for x, y in found if len(found) <= per_text else [found[i * len(found) // per_text] for i in range(per_text)]:
                     xs.append(x.ravel())
                     ys.append(y)
             yield pa.RecordBatch.from_pydict({"x": pa.array(xs, pa.list_(pa.int64())), "y": pa.array(ys, pa.list_(pa.int64()))})
@@ -274,6 +277,30 @@ def field_spans(texts: list[str], weights: np.ndarray, trans: np.ndarray) -> lis
     return out
 
 
+def outside(spans: list[tuple[int, int]], base: list[tuple[int, int, int]], least: int = 6) -> list[tuple[int, int]]:
+    """``spans`` as they are where no base span touches them, else their parts outside base spans that have ``least`` characters."""
+    joined: list[list[int]] = []
+    for s, _, e in sorted(base):
+        if joined and s < joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], e)
+        else:
+            joined.append([s, e])
+    ends, out = [b[1] for b in joined], []
+    for s, e in spans:
+        i, at = bisect_right(ends, s), s
+        if i == len(joined) or joined[i][0] >= e:
+            out.append((s, e))
+            continue
+        while i < len(joined) and joined[i][0] < e:
+            if joined[i][0] - at >= least:
+                out.append((at, joined[i][0]))
+            at = joined[i][1]
+            i += 1
+        if e - at >= least:
+            out.append((at, e))
+    return out
+
+
 def _scan(part: pa.RecordBatch, text: str, weights: np.ndarray, trans: np.ndarray) -> dict[str, list]:
     texts = [t or "" for t in part.column(text).to_pylist()]
     out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_field", "base_spans", "spans")}
@@ -281,7 +308,7 @@ def _scan(part: pa.RecordBatch, text: str, weights: np.ndarray, trans: np.ndarra
         base = base_spans(t)
         for k, name in enumerate(("n_assign", "n_access", "n_hex")):
             out[name].append(sum(b[1] == k for b in base))
-        added = [(s, 3, e) for s, e in more if all(e <= bs or be <= s for bs, _, be in base)]
+        added = [(s, 3, e) for s, e in outside(more, base)]
         out["n_field"].append(len(added))
         show = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
         out["base_spans"].append(show(base))
@@ -293,7 +320,7 @@ def scan_secrets(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: st
     """``docs`` plus counts by base kind, ``n_field``, ``base_spans`` and ``spans`` (kind:start:end, comma-joined) of the whole text.
 
     Spans are whole matches in code points, end exclusive, by start, then kind. The field adds spans of
-    kind ``crf`` that touch no base span. Null text counts as empty and has no spans. Input columns named
+    kind ``crf``; of one that touches a base span the parts outside it, if they have 6 characters. Null text counts as empty and has no spans. Input columns named
     like one made here are replaced.
     """
     made = ["n_assign", "n_access", "n_hex", "n_field", "base_spans", "spans"]
