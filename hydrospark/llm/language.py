@@ -81,20 +81,24 @@ class Model:
         return scores
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 2000, smooth: float = 0.3, script_share: float = 0.001) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 2000, smooth: float = 0.3, script_share: float = 0.001,
+        most_langs: int = 1000) -> Model:
     """Count letter trigrams by language on a bounded sample of labelled rows.
 
-    About ``per_lang`` whole texts of each language are used (a hash threshold computed from the
-    language's row count); all of them when there are fewer. Rows without text or label teach nothing.
+    About ``per_lang`` different whole texts of each language are used (a hash threshold computed from the
+    language's number of different texts), a text and its copies once; all of them when there are fewer. Rows
+    without text or label teach nothing. More than ``most_langs`` labels are refused: each is a column of the model.
     """
-    rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_langs + 1).collect()}
+    if len(sizes) > most_langs:
+        raise ValueError(f"more than {most_langs} language labels")
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
     limit = F.create_map(*[x for name in langs for x in (F.lit(name), F.lit(min(1.0, per_lang / sizes[name])))])
-    unit = (F.xxhash64("text").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52))
-    chosen = rows.filter(unit < limit[F.col("lang")])
+    unit = F.col("h").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    chosen = rows.filter(unit < limit[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def count(batches):
         table: dict[str, np.ndarray] = {}
