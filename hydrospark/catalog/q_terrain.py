@@ -113,7 +113,7 @@ def labels(q):
 def rollup(q):
     f, p, labels = basins(q)
     n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_cells"))
-    return T.rollup_nested(n, T.ancestor_closure(T.pour_tree(f, p, labels)), ["n_cells"])
+    return T.rollup_nested(n, T.pour_tree(f, p, labels), ["n_cells"])
 
 
 @query("nesting_levels", "cells", f"""{LABEL}, lev AS (SELECT node, max(depth) AS level FROM clo GROUP BY 1), ch AS (SELECT parent, count(*) AS n, list(child ORDER BY child) AS ids FROM tree WHERE parent IS NOT NULL GROUP BY 1)
@@ -141,8 +141,7 @@ SELECT t.zone, round(t.n * 0.0001e0, 6) AS total_km2, round(i.n * 0.0001e0, 6) A
 def incremental(q):
     from hydrospark.operators.nesting import incremental_from_labels
     f, p, labels = basins(q)
-    closure = T.ancestor_closure(T.pour_tree(f, p, labels))
-    return incremental_from_labels(labels, closure, GRID.cell_area).select("zone", r6("total_km2"), r6("incremental_km2"), r6("incremental_pct"))
+    return incremental_from_labels(labels, T.pour_tree(f, p, labels), GRID.cell_area).select("zone", r6("total_km2"), r6("incremental_km2"), r6("incremental_pct"))
 
 
 @query("connected_parts", "cells", """w AS MATERIALIZED (SELECT r, c, r::BIGINT * 4294967296 + c AS cell, nlcd FROM fx_cells), ed AS MATERIALIZED (SELECT a.cell AS a, b.cell AS b FROM w a JOIN w b ON a.nlcd = b.nlcd AND ((b.r = a.r AND b.c IN (a.c - 1, a.c + 1)) OR (b.c = a.c AND b.r IN (a.r - 1, a.r + 1)))),

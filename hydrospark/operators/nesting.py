@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from hydrospark.operators.terrain import ancestor_closure, rollup_nested
+from hydrospark.operators.terrain import rollup_nested, tree_levels
 
 
 def containment(zone_cells: DataFrame, min_share: float = 0.95) -> DataFrame:
@@ -35,7 +35,7 @@ def parents(zones: DataFrame, contained: DataFrame) -> DataFrame:
 
 def nesting_levels(tree: DataFrame) -> DataFrame:
     """Parent, direct children, and level below the root (root 0) of each zone."""
-    level = ancestor_closure(tree).groupBy("node").agg(F.max("depth").alias("level"))
+    level = tree_levels(tree)
     kids = tree.where("parent IS NOT NULL").groupBy("parent").agg(
         F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("child")).alias("ids")
     )
@@ -50,10 +50,10 @@ def nesting_levels(tree: DataFrame) -> DataFrame:
     )
 
 
-def incremental_from_labels(labels: DataFrame, closure: DataFrame, cell_area_m2: float) -> DataFrame:
+def incremental_from_labels(labels: DataFrame, tree: DataFrame, cell_area_m2: float) -> DataFrame:
     """Areas of nested watersheds from the incremental basin of each cell: no cell is repeated per watershed above it."""
     own = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_i"))
-    total = rollup_nested(own.withColumnRenamed("_i", "_n"), closure, ["_n"])
+    total = rollup_nested(own.withColumnRenamed("_i", "_n"), tree, ["_n"])
     km2 = cell_area_m2 / 1_000_000.0
     return total.join(own.withColumnRenamed("label", "zone"), "zone").select(
         "zone", (F.col("_n") * km2).alias("total_km2"), (F.col("_i") * km2).alias("incremental_km2"), (F.col("_i") * 100.0 / F.col("_n")).alias("incremental_pct"),

@@ -182,10 +182,45 @@ def nested_membership(labels: DataFrame, closure: DataFrame) -> DataFrame:
     return labels.join(closure.select(F.col("node").alias("label"), F.col("ancestor").alias("zone")), "label").select("zone", "cell")
 
 
-def rollup_nested(per_label: DataFrame, closure: DataFrame, sums: list[str]) -> DataFrame:
-    """Additive totals of incremental basins summed over everything upstream; cells are never repeated."""
-    up = closure.select(F.col("node").alias("label"), F.col("ancestor").alias("zone"))
-    return per_label.join(up, "label").groupBy("zone").agg(*[F.sum(s).alias(s) for s in sums])
+def _doubled(state: DataFrame, step) -> DataFrame:
+    """Run ``step(state)`` until no ``up`` is left; ``up`` starts as the parent and doubles its reach each round."""
+    most = state.count().bit_length() + 1
+    for _ in range(most + 1):
+        if state.where(F.col("up").isNotNull()).isEmpty():
+            return state.drop("up")
+        state = cut(step(state))
+    raise RuntimeError("nesting has a cycle")
+
+
+def rollup_nested(per_label: DataFrame, tree: DataFrame, sums: list[str]) -> DataFrame:
+    """(zone, sums): additive totals of incremental basins summed over everything upstream; cells are never repeated.
+
+    In round k a zone holds the sum of all zones fewer than 2 ** k steps above it, and adds what those 2 ** k
+    steps above hold: one row per zone and round, however long the chains are, and as many rounds as the
+    logarithm of the longest.
+    """
+    own = tree.select(F.col("child").alias("zone"), F.col("parent").alias("up")).join(per_label.select(F.col("label").alias("zone"), *sums), "zone", "left")
+
+    def step(state: DataFrame) -> DataFrame:
+        more = state.where(F.col("up").isNotNull()).groupBy(F.col("up").alias("zone")).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+        above = state.select(F.col("zone").alias("up"), F.col("up").alias("_up"))
+        return state.join(above, "up", "left").join(more, "zone", "left").select(
+            "zone", F.col("_up").alias("up"), *[F.coalesce(F.col(c) + F.col(f"_{c}"), c, f"_{c}").alias(c) for c in sums])
+
+    total = _doubled(cut(own), step)
+    # a zone with nothing upstream has no total
+    return total.where(F.coalesce(*[F.col(c).cast("double") for c in sums]).isNotNull())
+
+
+def tree_levels(tree: DataFrame) -> DataFrame:
+    """(node, level): steps to the root, by doubling as in ``rollup_nested``."""
+    own = tree.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.col("parent").isNotNull().cast("int").alias("level"))
+
+    def step(state: DataFrame) -> DataFrame:
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("level").alias("_level"))
+        return state.join(above, "up", "left").select("node", F.col("_up").alias("up"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level"))
+
+    return _doubled(cut(own), step)
 
 
 def connected_parts(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def delineate(cells: DataFrame, grid: Grid, roads: DataFrame, points: DataFrame
     per_point = out["watersheds"].drop("point_id").join(snapped.select("point_id", "cell"), "cell").select(*out["watersheds"].columns)
     watersheds = per_point.where(F.col("area_ha") >= min_area_ha)
     if boundary_cells is not None:
-        flagged = outside(out["labels"], out["closure"], boundary_cells, grid)
+        flagged = outside(out["labels"], out["tree"], boundary_cells, grid)
         out["flagged"] = watersheds.join(flagged, "cell", "left_semi")
         watersheds = watersheds.join(flagged, "cell", "left_anti")
     out["watersheds"] = watersheds
@@ -97,20 +97,20 @@ def nested_watersheds(cells: DataFrame, grid: Grid, flow: DataFrame, acc: DataFr
     """
     labels = cut(T.basin_labels(flow, pour))
     tree = cut(T.pour_tree(flow, pour, labels))
-    closure = cut(T.ancestor_closure(tree))
     slope = slope_gradient(cells.select("r", "c", z), z, grid).select(T.cell_id("r", "c").alias("cell"), "slope_pct")
     own = labels.join(slope, "cell").groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.sum("slope_pct").alias("s"), F.count("slope_pct").alias("sn")
     )
     own = cut(own)
-    total = T.rollup_nested(own, closure, ["n", "s", "sn"])
+    total = T.rollup_nested(own, tree, ["n", "s", "sn"])
     edge = with_neighbours(labels.select(T.cell_row(F.col("cell")).alias("r"), T.cell_col(F.col("cell")).alias("c"), "label"), ["label"])
     inner = F.lit(True)
     for side in "ewns":
         inner = inner & F.coalesce(F.col(f"label_{side}") == F.col("label"), F.lit(False))
     # the farthest cell from any place is a corner of the hull, so it is the first or last of its row
     rim = edge.where(~inner).groupBy("label", "r").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).select("label", "r", F.explode(F.array("lo", "hi")).alias("c"))
-    up = closure.select(F.col("node").alias("label"), F.col("ancestor").alias("zone"))
+    # the farthest cell is no sum: here a zone meets the rims of all basins above it
+    up = T.ancestor_closure(tree).select(F.col("node").alias("label"), F.col("ancestor").alias("zone"))
     far = F.hypot((F.col("r") - T.cell_row(F.col("zone"))) * grid.dy, (F.col("c") - T.cell_col(F.col("zone"))) * grid.dx)
     over = rim.join(up, "label").groupBy("zone").agg(F.max(far).alias("ov_len_m"))
     levels = N.nesting_levels(tree)
@@ -127,12 +127,12 @@ def nested_watersheds(cells: DataFrame, grid: Grid, flow: DataFrame, acc: DataFr
         F.coalesce(F.try_divide("s", "sn"), F.lit(1.0)).alias("avg_sl"), "ch_len_m", "ov_len_m",
     )
     tov, tch, tc = P.time_of_concentration(F.col("ov_len_m"), F.col("ch_len_m"), F.col("avg_sl"))
-    return {"watersheds": cut(w.withColumns({"tov_min": tov, "tch_min": tch, "tc_min": tc})), "labels": labels, "closure": closure}
+    return {"watersheds": cut(w.withColumns({"tov_min": tov, "tch_min": tch, "tc_min": tc})), "labels": labels, "tree": tree}
 
 
-def outside(labels: DataFrame, closure: DataFrame, boundary_cells: DataFrame, grid: Grid, limit_ha: float = 0.5) -> DataFrame:
+def outside(labels: DataFrame, tree: DataFrame, boundary_cells: DataFrame, grid: Grid, limit_ha: float = 0.5) -> DataFrame:
     """Pour cells whose watershed has more than the limit outside the boundary; counted per label, then rolled up."""
     b = boundary_cells.select(T.cell_id("r", "c").alias("cell"))
     n = labels.join(b, "cell", "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    up = T.rollup_nested(n, closure, ["n"])
+    up = T.rollup_nested(n, tree, ["n"])
     return up.where(F.col("n") * grid.cell_area / 10_000 > limit_ha).select(F.col("zone").alias("cell"))

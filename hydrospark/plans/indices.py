@@ -72,10 +72,3 @@ def streambank_index(layers: DataFrame, weights: dict[str, float], buffer_cells:
 def debris_flow_index(layers: DataFrame, weights: dict[str, float], zone_cells: DataFrame, zones: DataFrame) -> DataFrame:
     """Fifteen weighted layers over the whole region, summed per watershed."""
     return zone_index(weighted_overlay(layers, weights), zone_cells, zones, False)
-
-
-def to_long(base: DataFrame, names: list[str]) -> DataFrame:
-    present = [n for n in names if n in base.columns]
-    return base.select("r", "c", *[F.col(f"`{n}`").cast("double").alias(n) for n in present]).unpivot(
-        ["r", "c"], present, "layer", "v"
-    )

@@ -60,18 +60,3 @@ def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
 
 def has_column(df: DataFrame, name: str) -> bool:
     return name in df.columns
-
-
-def attach(left: DataFrame, table: DataFrame, keys: list[str], how: str = "left", max_rows: int = 100_000,
-           salts: int = 16) -> DataFrame:
-    """Join a lookup table (one row per key) onto a fact table whose keys may be very skewed, for callers without adaptive execution.
-
-    Broadcast when a bounded count proves the table small. Beyond that the fact rows get a salt and
-    the lookup rows are repeated once per salt, so a hot key spreads over ``salts`` tasks. The package's own
-    operators use plain joins.
-    """
-    if table.limit(max_rows + 1).count() <= max_rows:
-        return left.join(F.broadcast(table), keys, how)
-    salted = left.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from hydrospark.functions import gev as G
-from hydrospark.operators import regions as R, rollup as U
+from hydrospark.operators import nesting as N, regions as R, rollup as U, terrain as T
 
 
 def test_closed_form_derivatives():
@@ -123,3 +123,24 @@ def test_rain_moments_do_not_depend_on_the_order(spark):
     x, n = np.array(values), len(values)
     m2, m3 = ((x - x.mean()) ** 2).mean(), ((x - x.mean()) ** 3).mean()
     assert out[0] == out[1] and np.allclose(out[0], (x.mean(), x.std(ddof=1), np.sqrt(n * (n - 1)) / (n - 2) * m3 / m2**1.5), rtol=1e-9)
+
+
+def test_nested_totals_of_a_long_chain(spark):
+    """A chain of 5,000 zones with side branches: one row per zone and round, no pairs of zones."""
+    rng = np.random.default_rng(4)
+    parent = {0: None} | {i: i - 1 for i in range(1, 5000)} | {5000 + i: int(rng.integers(0, 5000 + i)) for i in range(800)} | {9000: None}
+    own = {i: int(rng.integers(1, 9)) for i in parent if i % 10}
+    total, level = {}, {}
+    for i in sorted(parent):
+        level[i] = 0 if parent[i] is None else level[parent[i]] + 1
+    for i in sorted(parent, key=level.get, reverse=True):
+        total[i] = total.get(i, 0) + own.get(i, 0)
+        if parent[i] is not None:
+            total[parent[i]] = total.get(parent[i], 0) + total[i]
+    tree = spark.createDataFrame(list(parent.items()), "child long, parent long")
+    labels = spark.createDataFrame(list(own.items()), "label long, n long")
+    got = {r["zone"]: r["n"] for r in T.rollup_nested(labels, tree, ["n"]).collect()}
+    assert got == {i: t for i, t in total.items() if t}
+    assert {r["zone"]: r["level"] for r in N.nesting_levels(tree).select("zone", "level").collect()} == level
+    with pytest.raises(RuntimeError):
+        T.tree_levels(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "child long, parent long"))

@@ -121,14 +121,6 @@ def test_chunked_windows(spark):
             last = r[3]
 
 
-def test_attach_salted_equals_broadcast(spark):
-    left = spark.range(200).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"), F.lit(5).alias("same"))
-    right = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
-    a = sorted(map(str, SC.attach(left, right, ["k"]).collect()))
-    b = sorted(map(str, SC.attach(left, right, ["k"], max_rows=3, salts=4).collect()))
-    assert a == b and len(a) == 200
-
-
 def test_rank_score_edges(spark):
     same = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, None)], "zone_id int, v double")
     assert {r.zone_id: r.score for r in B.rank_score(same, "v", "zone_id").collect()} == {1: 2.5, 2: 2.5, 3: None}
