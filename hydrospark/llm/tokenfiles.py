@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hydrospark.llm.common import bounded_broadcast, map_slices, shared_dir, slices
@@ -29,10 +30,15 @@ VOCABULARY_BYTES = 64_000_000
 BLANK = " \\t\\n\\r\\x0b\\x0c\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 DOUBTFUL = re.compile("[\\x1c-\\x1f\\x85\\u180e\\u200b\\u2060\\ufeff]")
+# Texts that are not cut at every single blank: a blank behind a blank, or doubtful characters. Syntax of RE2.
+UNEVEN = r"[\x09-\x0d\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |[\x1c-\x1f\x{85}\x{180e}\x{200b}\x{2060}\x{feff}]"
 SURE_CUT = re.compile("(?<=[!-~])(?=[ \\t\\n\\r])")
 
 #: Pieces a task remembers before it starts a new memory (the one before it is kept too), and the longest of them.
-MEMORY, LONGEST = 200_000, 40
+MEMORY, LONGEST = 140_000, 40
+
+#: Bytes of text encoded at once: a piece is looked up once a slice, so larger slices save work; about 12 times that is held.
+SLICE_BYTES = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -94,37 +100,92 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        named = self.tokenizer.get_vocab(with_added_tokens=False)
+        #: Bytes of each token: in a byte-level vocabulary a character of its name stands for a byte.
+        self.bytes_of = np.zeros(max(named.values(), default=0) + 1, np.int64)
+        for name, i in named.items():
+            self.bytes_of[i] = len(name)
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, ``end_id`` after each text, and the number of ids of each text."""
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Encode pieces; those that begin and end a run of blanks cleanly go many to a call."""
+        clean = [p[0] == " " and not p[-1].isspace() for p in new]
+        joined = [p for p, c in zip(new, clean) if c]
+        alone = iter([array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([p for p, c in zip(new, clean) if not c], add_special_tokens=False)])
+        groups = ["".join(joined[a:a + 400]) for a in range(0, len(joined), 400)]
+        ids = array("i")
+        for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False):
+            ids.extend(e.ids)
+        # no token reaches over a piece's end, so the bytes tell which tokens are whose
+        ends = np.cumsum(self.bytes_of[np.frombuffer(ids, np.int32)]) if len(ids) else np.zeros(0, np.int64)
+        piece_ends = np.cumsum(pc.binary_length(pa.array(joined, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = (4 * (np.searchsorted(ends, piece_ends) + 1)).tolist()
+        raw = ids.tobytes()
+        many = map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))
+        return [next(many) if c else next(alone) for c in clean]
+
+    def _known(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in one array, and the number of ids of each."""
         if len(self.memory) > MEMORY:
             self.memory, self.older = {}, self.memory
-        memory, older, pieces, counts = self.memory, self.older, [], []
-        for t in texts:
-            found = pieces_of(t) if t else []
-            found.append("")
-            counts.append(len(found))
-            pieces += found
-        memory[""] = array("i", [end_id]).tobytes()
+        memory, older = self.memory, self.older
+        lists = list(map(memory.get, pieces))
+        unseen = [i for i, ids in enumerate(lists) if ids is None]
         new = []
-        for p in set(pieces):
-            if p not in memory:
-                if p in older:
-                    memory[p] = older[p]
-                else:
-                    new.append(p)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            memory[p] = array("i", e.ids).tobytes()
-        lists = list(map(memory.__getitem__, pieces))
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-        flat = np.frombuffer(b"".join(lists), np.int32)
-        for p in new:
-            if len(p) > LONGEST:
-                del memory[p]
-        firsts = np.cumsum([0, *counts[:-1]])
-        return flat, np.add.reduceat(sizes, firsts) if len(counts) else np.zeros(0, np.int64)
+        for i in unseen:
+            p = pieces[i]
+            lists[i] = memory[p] = older.get(p)
+            if lists[i] is None:
+                new.append(i)
+        for i, ids in zip(new, self._learn([pieces[i] for i in new])):
+            lists[i] = ids
+            if len(pieces[i]) > LONGEST:
+                memory.pop(pieces[i], None)
+            else:
+                memory[pieces[i]] = ids
+        return np.frombuffer(b"".join(lists), np.int32), np.fromiter(map(len, lists), np.int32, len(lists)) // 4
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, ``end_id`` after each text, and the number of ids of each text."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.invert(pc.match_substring_regex(texts, UNEVEN))
+        words = pc.split_pattern(texts.filter(plain), " ")
+        coded = words.values.dictionary_encode()
+        # every word but a text's first has its blank before it; those that do not are listed behind
+        starts, n_coded = words.offsets.to_numpy().astype(np.int64), len(coded.dictionary)
+        codes = coded.indices.to_numpy().astype(np.int32)
+        place: dict[str, int] = {}
+        code = lambda p: place.setdefault(p, n_coded + len(place))
+        codes[starts[:-1]] = [code(w) for w in words.values.take(pa.array(starts[:-1])).to_pylist()]
+        others = [[code(p) for p in pieces_of(t)] for t in texts.filter(pc.invert(plain)).to_pylist()]
+        pieces = [" " + w for w in coded.dictionary.to_pylist()]
+        pieces += place
+        empty = place.get("")
+        known = [p for p in pieces if p] if empty is not None else pieces
+        flat, sizes = self._known(known)
+        if empty is not None:
+            sizes = np.insert(sizes, empty, 0)
+        # the end of a text is one more piece
+        end, flat, sizes = len(pieces), np.append(flat, np.int32(end_id)), np.append(sizes, np.int32(1))
+        del pieces, known, place, coded
+        if others:
+            even = plain.to_numpy(zero_copy_only=False)
+            whole, rest = iter(np.split(codes, starts[1:-1])), iter(others)
+            parts = [next(whole) if e else np.array(next(rest), np.int32) for e in even.tolist()]
+            counts = np.array([len(c) for c in parts])
+            codes, starts = np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
+        codes = np.insert(codes, starts[1:], end)
+        n = sizes[codes]
+        ends = np.cumsum(n, dtype=np.int64)
+        # each id's place in ``flat``: 32 bits hold it, as a slice and its pieces are bounded by a text
+        first = np.cumsum(sizes, dtype=np.int64) - sizes
+        place_of = np.repeat((first[codes] - ends + n).astype(np.int32), n)
+        place_of += np.arange(len(place_of), dtype=np.int32)
+        ids = flat[place_of]
+        # places of the first piece of each text, end pieces included
+        heads = starts[:-1] + np.arange(len(starts) - 1)
+        return ids, np.add.reduceat(n.astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, layout: Layout = Layout(), id_col: str = "doc_id", text: str = "text") -> str:
@@ -151,8 +212,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, layout: Layo
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
         encoder, at = encoder_for(sent.value), 0
-        for batch in slices(batches, "text"):
-            flat, sizes = encoder.encode(batch.column("text").to_pylist(), end_id)
+        for batch in slices(batches, "text", SLICE_BYTES):
+            flat, sizes = encoder.encode(batch.column("text"), end_id)
             ends = np.cumsum(sizes)
             if len(flat) >= 2**31:
                 raise ValueError("a text has more tokens than an Arrow list can hold")

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -42,7 +43,7 @@ def test_pieces_do_not_change_the_ids(plain):
     rng = random.Random(1)
     bits = [" ", "  ", "\n", "\t", "\r\n", "a", "B", "é", "1", "½", ".", "'s", "'", "!", "\xa0", " ", "​", "\x1c", "\x85", "日本", "😀", "<|endoftext|>", "́", "\x0b", "\x00", "﻿", "_", "²"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(5000)]
-    flat, sizes = enc.encode(texts, 2)
+    flat, sizes = enc.encode(pa.array(texts), 2)
     assert flat.tolist() == [i for t in texts for i in plain(t)] and sizes.tolist() == [len(plain(t)) for t in texts]
 
 
