@@ -29,8 +29,13 @@ SHAPE_MIN, SHAPE_MAX = -0.99, 5.0
 
 def _derivatives(theta, x, c, mask):
     """Negative log likelihood per row, its gradient and its Hessian in all five parameters, in closed form."""
-    scale = np.exp(-(theta[:, 2, None] + theta[:, 3, None] * c))
-    z = (x - theta[:, 0, None] - theta[:, 1, None] * c) * scale
+    plain, whole = not (theta[:, 1].any() or theta[:, 3].any() or c.any()), mask.all()
+    if plain:
+        scale = np.exp(-theta[:, 2, None])
+        z = (x - theta[:, 0, None]) * scale
+    else:
+        scale = np.exp(-(theta[:, 2, None] + theta[:, 3, None] * c))
+        z = (x - theta[:, 0, None] - theta[:, 1, None] * c) * scale
     xi = theta[:, 4, None]
     t = 1.0 + xi * z
     bad = (t <= 0) & mask
@@ -45,20 +50,20 @@ def _derivatives(theta, x, c, mask):
         zz = z * z
         y, a, b = np.where(small, z - xi * zz / 2, y), np.where(small, -zz / 2 + 2 * xi * zz * z / 3, a), np.where(small, 2 * zz * z / 3, b)
     e = np.exp(np.clip(-y, -700, 700))
-    f = np.where(mask, (1.0 + xi) * y + e + theta[:, 2, None] + theta[:, 3, None] * c, 0.0).sum(1)
-    f = np.where(bad.any(1) | ~np.isfinite(f), np.inf, f)
     slope = 1.0 + xi - e
     p = slope / t                                   # by z
     pz = (1.0 + xi) * (e - xi) / (t * t)            # by z twice
     px = (1.0 + e * a - z * p) / t                  # by z and shape
-    whole = mask.all()
+    if plain and whole:
+        return _sums(theta, x.shape[1], scale[:, 0], xi[:, 0], z, y, e, a, b, slope, p, pz, px, bad)
+    f = np.where(mask, (1.0 + xi) * y + e + theta[:, 2, None] + theta[:, 3, None] * c, 0.0).sum(1)
+    f = np.where(bad.any(1) | ~np.isfinite(f), np.inf, f)
     held = lambda v: v if whole else np.where(mask, v, 0.0)
     # location, log scale, shape; a slope parameter adds a factor c
     first = [held(-scale * p), held(1.0 - z * p), held(y + slope * a)]
     second = {(0, 0): held(scale * scale * pz), (0, 1): held(scale * (p + z * pz)), (1, 1): held(z * p + z * z * pz),
               (0, 2): held(-scale * px), (1, 2): held(-z * px), (2, 2): held(2 * a + e * a * a + slope * b)}
     of, with_c = [0, 0, 1, 1, 2], [0, 1, 0, 1, 0]
-    plain = not (theta[:, 1].any() or theta[:, 3].any() or c.any())
     sums = {}
 
     def total(v, power, key):
@@ -78,6 +83,22 @@ def _derivatives(theta, x, c, mask):
     return f, g, h
 
 
+def _sums(theta, n, scale, xi, z, y, e, a, b, slope, p, pz, px, bad):
+    """What ``_derivatives`` returns where rows are full and nothing varies along them: scales leave the sums."""
+    dot = lambda v, w: np.einsum("ij,ij->i", v, w)
+    f = (1.0 + xi) * y.sum(1) + e.sum(1) + n * theta[:, 2]
+    f = np.where(bad.any(1) | ~np.isfinite(f), np.inf, f)
+    zp, zpz, sp = dot(z, p), z * pz, p.sum(1)
+    zz = dot(z, zpz)
+    g, h = np.zeros((len(z), 5)), np.zeros((len(z), 5, 5))
+    g[:, 0], g[:, 2], g[:, 4] = -scale * sp, n - zp, y.sum(1) + dot(slope, a)
+    h[:, 0, 0], h[:, 2, 2], h[:, 4, 4] = scale * scale * pz.sum(1), zp + zz, 2 * a.sum(1) + dot(e * a, a) + dot(slope, b)
+    h[:, 0, 2] = h[:, 2, 0] = scale * (sp + zpz.sum(1))
+    h[:, 0, 4] = h[:, 4, 0] = -scale * px.sum(1)
+    h[:, 2, 4] = h[:, 4, 2] = -dot(z, px)
+    return f, g, h
+
+
 def fit_rows(x, c, mask, use, rounds=60, start=None, with_cov=True):
     """Damped Newton on standardised rows; returns parameters, nll and covariance in the units of x.
 
@@ -112,9 +133,10 @@ def fit_rows(x, c, mask, use, rounds=60, start=None, with_cov=True):
         if not open_rows.any():
             break
         live, gu, hu = live[open_rows], gu[open_rows], hu[open_rows]
-        size = np.maximum(np.abs(hu).max((1, 2)), 1e-8)
+        # damped by each parameter's own curvature: near a law's end one of them may dwarf the others
+        size = np.maximum(np.abs(hu[:, range(len(use)), range(len(use))]), 1e-8)
         try:
-            step = np.linalg.solve(hu + (damp[live] * size)[:, None, None] * eye, -gu[:, :, None])[:, :, 0]
+            step = np.linalg.solve(hu + (damp[live][:, None] * size)[:, :, None] * eye, -gu[:, :, None])[:, :, 0]
         except np.linalg.LinAlgError:
             damp[live] *= 10
             continue
